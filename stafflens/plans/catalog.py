@@ -615,3 +615,64 @@ def qb(spark, sf_dir):
 @register("overall_rate")
 def overall(spark, sf_dir):
     return rates.overall_rate(_t(spark, sf_dir).staging(), left())
+
+
+# =============================================================== load: CSV → staging → star
+def _star(spark, sf_dir):
+    from .star import Star
+    return Star(_t(spark, sf_dir))
+
+
+@register("load_staging")
+def load_staging(spark, sf_dir):
+    """W02 + W01: the staging table written as CSV (declared schema) and read back typed."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.ingest import ingest_csv
+    from ..sources.schemas import STAGING
+    from ..sources.sinks import write_table
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging_csv_{uuid.uuid4().hex}"
+    write_table(_t(spark, sf_dir).staging(), path, schema=STAGING, fmt="csv")
+    return ingest_csv(spark, path, STAGING, mode="FAILFAST").rows
+
+
+@register("profile")
+def profile_key(spark, sf_dir):
+    from ..sources.ingest import profile
+    return profile(_t(spark, sf_dir).staging())
+
+
+@register("load_dim_department")
+def load_dim_department(spark, sf_dir):
+    return _star(spark, sf_dir).dim_department()
+
+
+@register("load_dim_job_role")
+def load_dim_job_role(spark, sf_dir):
+    return _star(spark, sf_dir).dim_job_role()
+
+
+@register("load_dim_employee")
+def load_dim_employee(spark, sf_dir):
+    return _star(spark, sf_dir).dim_employee()
+
+
+@register("load_fact_attrition")
+def load_fact_attrition(spark, sf_dir):
+    return _star(spark, sf_dir).fact_attrition()
+
+
+@register("load_fact_performance")
+def load_fact_performance(spark, sf_dir):
+    return _star(spark, sf_dir).fact_performance()
+
+
+@register("dim_time")
+def dim_time(spark, sf_dir):
+    return _star(spark, sf_dir).dim_time()
+
+
+@register("constraint_report")
+def constraint_report(spark, sf_dir):
+    return _star(spark, sf_dir).constraint_report()

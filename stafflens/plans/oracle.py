@@ -531,3 +531,80 @@ FROM sc GROUP BY predicted, actual""",
 
 ORACLE["overall_rate"] = with_hr(
     f"""SELECT {N} AS total_employees, {YES_N} AS employees_left, {RATE2} AS attrition_rate_pct FROM staging""")
+
+# ------------------------------------------------------------------ load: staging → star
+_STAR = """dim_department AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY department_name) AS BIGINT) AS department_id, department_name
+  FROM (SELECT DISTINCT Department AS department_name FROM staging WHERE Department IS NOT NULL) d),
+dim_job_role AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY job_role_name) AS BIGINT) AS job_role_id, job_role_name
+  FROM (SELECT DISTINCT JobRole AS job_role_name FROM staging WHERE JobRole IS NOT NULL) j),
+dim_employee AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY EmployeeNumber, Age, Gender, MaritalStatus, Education, EducationField)
+              AS BIGINT) AS employee_key,
+    EmployeeNumber AS employee_id, Age AS age, Gender AS gender, MaritalStatus AS marital_status,
+    Education AS education, EducationField AS education_field
+  FROM staging WHERE EmployeeNumber IS NOT NULL),
+fact_attrition AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY e.employee_key) AS BIGINT) AS attrition_id, e.employee_key,
+    d.department_id, s.Attrition AS attrition, s.YearsAtCompany AS years_at_company,
+    s.YearsInCurrentRole AS years_in_current_role, s.YearsSinceLastPromotion AS years_since_last_promotion,
+    s.YearsWithCurrManager AS years_with_current_manager, CAST(s.MonthlyIncome AS DECIMAL(12,2)) AS monthly_income,
+    s.PercentSalaryHike AS percent_salary_hike, s.StockOptionLevel AS stock_option_level, s.OverTime AS overtime,
+    s.BusinessTravel AS business_travel, s.DistanceFromHome AS distance_from_home
+  FROM staging s JOIN dim_employee e ON s.EmployeeNumber = e.employee_id
+  JOIN dim_department d ON s.Department = d.department_name),
+fact_performance AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY e.employee_key) AS BIGINT) AS performance_id, e.employee_key,
+    j.job_role_id, d.department_id, s.PerformanceRating AS performance_rating, s.JobSatisfaction AS job_satisfaction,
+    s.EnvironmentSatisfaction AS environment_satisfaction, s.RelationshipSatisfaction AS relationship_satisfaction,
+    s.WorkLifeBalance AS work_life_balance
+  FROM staging s JOIN dim_employee e ON s.EmployeeNumber = e.employee_id
+  JOIN dim_job_role j ON s.JobRole = j.job_role_name
+  JOIN dim_department d ON s.Department = d.department_name)"""
+
+for _name in ("dim_department", "dim_job_role", "dim_employee", "fact_attrition", "fact_performance"):
+    ORACLE[f"load_{_name}"] = with_hr(f"SELECT * FROM {_name}", _STAR)
+
+ORACLE["load_staging"] = with_hr("SELECT * FROM staging")
+
+ORACLE["dim_time"] = with_hr(
+    """SELECT CAST(ROW_NUMBER() OVER (ORDER BY m) AS BIGINT) AS time_key, CAST(YEAR(m) AS INT) AS year,
+  CAST(QUARTER(m) AS INT) AS quarter, CAST(MONTH(m) AS INT) AS month, MONTHNAME(m) AS month_name
+FROM (SELECT CAST(UNNEST(GENERATE_SERIES(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS m FROM span) g""",
+    """span AS (SELECT CAST(DATE_TRUNC('month', MIN(event_date)) AS TIMESTAMP) AS lo,
+  CAST(DATE_TRUNC('month', MAX(event_date)) AS TIMESTAMP) AS hi FROM retention_fact)""")
+
+
+def _rule_sql(r) -> str:
+    head = f"SELECT {q(r.table)} AS table_name, {q(r.kind)} AS rule, {q(r.column)} AS column_name, "
+    c = r.column
+    if r.kind == "unique":
+        return (head + "CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM "
+                f"{r.table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) u")
+    if r.kind == "not_null":
+        return head + f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations FROM {r.table}"
+    if r.kind == "max_length":
+        return head + f"CAST(COUNT(*) FILTER (WHERE LENGTH({c}) > {r.limit}) AS BIGINT) AS violations FROM {r.table}"
+    guard = f"t.{c} IS NOT NULL AND " if r.kind == "foreign_key" else ""
+    return (head + f"CAST(COUNT(*) AS BIGINT) AS violations FROM {r.table} t WHERE {guard}"
+            f"NOT EXISTS (SELECT 1 FROM {r.ref_table} x WHERE x.{r.ref_column} = t.{c})")
+
+
+def _constraint_sql() -> str:
+    from ..operators.warehouse import star_rules
+    from ..sources.schemas import VARCHAR_LIMITS
+    return with_hr("\nUNION ALL\n".join(_rule_sql(r) for r in star_rules(VARCHAR_LIMITS)), _STAR)
+
+
+ORACLE["constraint_report"] = _constraint_sql()
+
+
+def _profile_sql() -> str:
+    from ..sources.schemas import STAGING
+    parts = [f"SELECT {q(f.name)} AS column_name, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE {f.name} IS NULL) "
+             f"AS n_nulls, COUNT(DISTINCT {f.name}) AS n_distinct FROM staging" for f in STAGING.fields]
+    return with_hr("\nUNION ALL\n".join(parts))
+
+
+ORACLE["profile"] = _profile_sql()
