@@ -40,7 +40,9 @@ def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, *, mode: st
     wide = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     raw = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # The quarantine keeps the parsed fields next to the raw line (Spark refuses
+    # a query that reads only the corrupt-record column of a raw file).
+    bad = raw.where(F.col(CORRUPT).isNotNull())
     return Ingested(good, bad)
 
 
