@@ -117,30 +117,74 @@ class Rule:
     ref_column: str | None = None
 
 
-def _violations(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
+def _report(table: str, kind: str, column: str, violations) -> DataFrame:
+    return violations.select(F.lit(table).alias("table_name"), F.lit(kind).alias("rule"),
+                             F.lit(column).alias("column_name"), F.col("violations").cast("bigint").alias("violations"))
+
+
+def _scalar_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
+    """NOT NULL and text-length rules of one table: one aggregate pass, one row per rule."""
+    counts = []
+    for i, r in enumerate(rules):
+        c = F.col(r.column)
+        cond = c.isNull() if r.kind == "not_null" else F.length(c) > r.limit
+        counts.append(F.count_if(cond).alias(f"_v{i}"))
+    one = df.agg(*counts)
+    stacked = ", ".join(f"'{r.kind}', '{r.column}', _v{i}" for i, r in enumerate(rules))
+    return one.selectExpr(f"stack({len(rules)}, {stacked}) AS (rule, column_name, violations)").select(
+        F.lit(table).alias("table_name"), "rule", "column_name", F.col("violations").cast("bigint"))
+
+
+def _unique_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
+    """UNIQUE rules of one table in one shuffle: (column, value) pairs counted,
+    rows of repeated non-NULL values summed per column."""
+    cols = [r.column for r in rules]
+    long = (df.select([F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], cols, "column_name", "value")
+            .where(F.col("value").isNotNull()))
+    per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+    found = per_value.groupBy("column_name").agg(
+        F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0))).alias("violations"))
+    # One row per rule even when the table is empty (no (column, value) pairs at all).
+    expected = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
+    return (expected.join(found, "column_name", "left")
+            .select(F.lit(table).alias("table_name"), F.lit("unique").alias("rule"), "column_name",
+                    F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations")))
+
+
+def _reference_rule(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
+    """FOREIGN KEY (non-NULL values without a referenced row) or lookup miss (any row
+    without a match, NULL included): an anti-join against the distinct referenced keys."""
     df = tables[r.table]
-    c = F.col(r.column)
-    if r.kind == "unique":
-        per = df.where(c.isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        v = per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations"))
-    elif r.kind == "not_null":
-        v = df.agg(F.count_if(c.isNull()).alias("violations"))
-    elif r.kind == "max_length":
-        v = df.agg(F.count_if(F.length(c) > r.limit).alias("violations"))
-    elif r.kind in ("foreign_key", "lookup_miss"):
-        ref = tables[r.ref_table].select(F.col(r.ref_column).alias("_ref")).distinct()
-        probe = df.where(c.isNotNull()) if r.kind == "foreign_key" else df
-        miss = probe.join(ref, probe[r.column] == ref["_ref"], "left_anti")
-        v = miss.agg(F.count(F.lit(1)).alias("violations"))
-    else:
-        raise ValueError(f"unknown rule kind {r.kind!r}")
-    return v.select(F.lit(r.table).alias("table_name"), F.lit(r.kind).alias("rule"),
-                    F.lit(r.column).alias("column_name"), F.col("violations").cast("bigint").alias("violations"))
+    ref = tables[r.ref_table].select(F.col(r.ref_column).alias("_ref")).distinct()
+    probe = df.where(F.col(r.column).isNotNull()) if r.kind == "foreign_key" else df
+    miss = probe.join(ref, probe[r.column] == ref["_ref"], "left_anti")
+    return _report(r.table, r.kind, r.column, miss.agg(F.count(F.lit(1)).alias("violations")))
 
 
 def check_constraints(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
-    """One row per rule with its violation count (0 = rule holds)."""
-    return reduce(lambda a, b: a.unionByName(b), [_violations(tables, r) for r in rules])
+    """One row per rule with its violation count (0 = rule holds).
+
+    Per table, all NOT NULL / length rules share one aggregate pass and all
+    UNIQUE rules share one shuffle; each reference rule is one anti-join.
+    Everything is one Spark job (a union of the branches).
+    """
+    parts: list[DataFrame] = []
+    by_table: dict[str, list[Rule]] = {}
+    for r in rules:
+        if r.kind not in ("unique", "not_null", "max_length", "foreign_key", "lookup_miss"):
+            raise ValueError(f"unknown rule kind {r.kind!r}")
+        by_table.setdefault(r.table, []).append(r)
+    for table, rs in by_table.items():
+        scalar = [r for r in rs if r.kind in ("not_null", "max_length")]
+        unique = [r for r in rs if r.kind == "unique"]
+        if scalar:
+            parts.append(_scalar_rules(tables[table], table, scalar))
+        if unique:
+            parts.append(_unique_rules(tables[table], table, unique))
+        parts.extend(_reference_rule(tables, r) for r in rs if r.kind in ("foreign_key", "lookup_miss"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def star_rules(varchar_limits: dict[str, dict[str, int]]) -> list[Rule]:

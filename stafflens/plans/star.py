@@ -1,8 +1,9 @@
 """Staging → star schema: the load steps as one plan (dims first, then facts).
 
-The staging projection is materialized once (reliable checkpoint in the
-shared checkpoint folder) so the three dimensions, two facts and the checks
-read it instead of recomputing it from the raw tables five times.
+The staging table is read from its stored copy (or, for a non-materialized
+source, checkpointed once in the shared checkpoint folder) so the three
+dimensions, two facts and the checks read it instead of recomputing it from
+the raw tables five times.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ class Star:
     def staging(self) -> DataFrame:
         def build():
             stg = self.t.staging()
-            if self.materialize:
+            if self.materialize and not self.t.materialize:
                 ensure_checkpoint_dir(stg.sparkSession)
                 stg = stg.checkpoint(eager=True)
             return stg
