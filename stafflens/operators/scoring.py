@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import compare, count_rows, indicator
+from ..functions.numeric import compare, count_rows, count_where, fround, indicator, safe_div
 from .rates import share
 
 
@@ -66,7 +66,6 @@ def weighted(features: Sequence[tuple[object, str, str, object]]) -> Column:
 
 def ratio_status(num: str, den: str, digits: int) -> Column:
     """Per-row num / NULLIF(den, 0) rounded (double)."""
-    from ..functions.numeric import fround, safe_div
     return fround(safe_div(num, den), digits)
 
 
@@ -89,3 +88,19 @@ def confusion_matrix(df: DataFrame, predicted: str, actual: str, *, count_name:
     counts = df.groupBy(predicted, actual).agg(count_rows().alias(count_name))
     return share(df, [predicted, actual], count_name=count_name, shares=((pct_name, None),),
                  digits=digits, counts=counts)
+
+
+def confusion_metrics(df: DataFrame, predicted_pos: Column, actual_pos: Column, *, digits: int = 4) -> DataFrame:
+    """W33 summary figures in one pass: tp, fp, fn, tn, precision, recall, accuracy.
+
+    NULL predictions or actuals count as negative, as the CASE labels do.
+    """
+    p = F.coalesce(predicted_pos, F.lit(False))
+    a = F.coalesce(actual_pos, F.lit(False))
+    out = df.agg(count_where(p & a).alias("tp"), count_where(p & ~a).alias("fp"),
+                 count_where(~p & a).alias("fn"), count_where(~p & ~a).alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return out.select("tp", "fp", "fn", "tn",
+                      fround(safe_div(tp, tp + fp), digits).alias("precision"),
+                      fround(safe_div(tp, tp + fn), digits).alias("recall"),
+                      fround(safe_div(tp + tn, tp + fp + fn + tn), digits).alias("accuracy"))

@@ -88,15 +88,21 @@ def group_profile(df: DataFrame, by: Cols, metrics: Sequence[tuple[str, Column]]
 
 
 # --- W17 -----------------------------------------------------------------------------------------
-def vs_parent_mean(agg: DataFrame, mean_col: str, parent: Sequence[str] = ()) -> Column:
-    """Group mean minus the *unweighted* mean of the group means of its parent.
+def vs_parent_mean(agg: DataFrame, mean_col: str, parent: Sequence[str] = (), *,
+                   weight_col: str | None = None) -> Column:
+    """Group mean minus the mean of the group means of its parent.
 
     ``agg`` holds one row per group with an unrounded ``mean_col``; ``parent``
-    empty means all groups. Returns the unrounded difference (a window over the
-    group rows).
+    empty means all groups. By default the parent mean is the *unweighted*
+    mean of the group means (the analyses' definition); with ``weight_col``
+    (the group row counts) it is the weighted mean, i.e. the parent's own row
+    mean. Returns the unrounded difference (a window over the group rows).
     """
     w = Window.partitionBy(*parent) if parent else Window.partitionBy()
-    return F.col(mean_col) - F.avg(F.col(mean_col)).over(w)
+    if weight_col is None:
+        return F.col(mean_col) - F.avg(F.col(mean_col)).over(w)
+    weighted = F.sum(F.col(mean_col) * F.col(weight_col)).over(w) / F.sum(F.col(weight_col)).over(w)
+    return F.col(mean_col) - weighted
 
 
 # --- W19 / W20 -----------------------------------------------------------------------------------

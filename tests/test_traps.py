@@ -169,3 +169,22 @@ def test_asof_snapshot_filters_before_left_join(spark):
     out = {r.employee_id: r.performance_score for r in scoring.asof_snapshot(
         left, hist, left_key="employee_id", as_of=date(2001, 1, 1)).collect()}
     assert out == {1: 4, 2: None}
+
+
+def test_vs_parent_mean_weighted_and_unweighted(spark):
+    df = spark.createDataFrame([("d", "a", 1.0), ("d", "b", 3.0), ("d", "b", 3.0), ("d", "b", 3.0)],
+                               "dept string, role string, x double")
+    agg = stats.group_profile(df, ["dept", "role"], [("m", stats.m_mean("x")), ("n", stats.m_count())])
+    out = {r.role: (r.u, r.w) for r in agg.select(
+        "role", stats.vs_parent_mean(agg, "m", ["dept"]).alias("u"),
+        stats.vs_parent_mean(agg, "m", ["dept"], weight_col="n").alias("w")).collect()}
+    assert out["a"] == (pytest.approx(-1.0), pytest.approx(-1.5))
+    assert out["b"] == (pytest.approx(1.0), pytest.approx(0.5))
+
+
+def test_confusion_metrics(spark):
+    df = spark.createDataFrame([(True, "Yes"), (True, "No"), (False, "Yes"), (False, "No"), (False, "No")],
+                               "p boolean, a string")
+    r = scoring.confusion_metrics(df, F.col("p"), F.col("a") == "Yes").collect()[0]
+    assert (r.tp, r.fp, r.fn, r.tn) == (1, 1, 1, 2)
+    assert (r.precision, r.recall, r.accuracy) == (0.5, 0.5, 0.6)
