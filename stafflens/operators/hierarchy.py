@@ -7,7 +7,9 @@ frontier on the parent key, so the work per round is a shuffle join and the
 number of rounds is the tree depth. Rows never reached from a root (cycles,
 orphans) are not returned, as in SQL.
 
-The loop needs one action per round (is the frontier empty?). Lineage is cut
+The loop needs one action per round (the size of the new level, counted on
+its stored copy; it decides the join strategy of the next round and the stop).
+Lineage is cut
 with a reliable checkpoint every ``checkpoint_every`` rounds (default: every
 round), so each level is computed once — the emptiness test and the final
 union read the stored level — and no round replays the chain after an
@@ -23,6 +25,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FRONTIER_BROADCAST_MAX_ROWS = 2_000_000
+
 from ..session import ensure_checkpoint_dir
 
 
@@ -35,6 +39,7 @@ def hierarchy_depth(
     max_depth: int = 100,
     checkpoint_every: int = 1,
     materialize_input: bool = True,
+    broadcast_max_rows: int = FRONTIER_BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Every row reachable from a root, with its depth (roots = 1).
 
@@ -45,20 +50,29 @@ def hierarchy_depth(
     if materialize_input:
         nodes = nodes.checkpoint(eager=True)
     frontier = nodes.where(F.col(parent).isNull()).withColumn(depth_name, F.lit(1))
+    if checkpoint_every == 1:
+        frontier = frontier.checkpoint(eager=True)
+    size = frontier.count()
     levels = [frontier]
     depth = 1
     # Children are looked up by parent key; rows without a parent never match.
     edges = nodes.where(F.col(parent).isNotNull())
-    while True:
+    while size > 0:
         # Multiplicity is kept (UNION ALL semantics): a duplicated id in the
         # frontier yields its children twice, as the recursive query would.
         keys = frontier.select(F.col(node).alias("_p"))
+        # A level proven small (counted on its stored copy) is broadcast, so a
+        # manager with millions of reports is not one hot sort-merge partition;
+        # a large level is a shuffle join (AQE splits skewed partitions).
+        if size <= broadcast_max_rows:
+            keys = F.broadcast(keys)
         nxt = edges.join(keys, edges[parent] == keys["_p"], "inner").drop("_p")
         depth += 1
         nxt = nxt.withColumn(depth_name, F.lit(depth))
         if depth % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
+        size = nxt.count()
+        if size == 0:
             break
         if depth > max_depth:
             raise RuntimeError(f"hierarchy deeper than {max_depth} levels: cycle or runaway recursion")

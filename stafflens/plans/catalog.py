@@ -486,7 +486,7 @@ def q40(spark, sf_dir):
 @register("q41_org_depth")
 def q41(spark, sf_dir):
     nodes = _t(spark, sf_dir).dim_employee_wide().select("employee_id", "manager_id", "role", "department")
-    out = hierarchy.hierarchy_depth(nodes)
+    out = hierarchy.hierarchy_depth(nodes, materialize_input=False)  # staging is already stored
     return out.select("employee_id", "role", "department", F.col("depth").cast("int").alias("depth"))
 
 

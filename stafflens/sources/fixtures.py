@@ -34,7 +34,7 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(spark._jsparkSession),) + key
+    k = (id(getattr(spark, "_jsparkSession", spark)),) + key
     if k not in _PLANS:
         _PLANS[k] = build()
     return _PLANS[k]
