@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 from ..operators.warehouse import Lookup, build_dim, build_dim_time, build_fact, check_constraints, star_rules
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import HrTables
+from ..sources import schemas
 from ..sources.schemas import VARCHAR_LIMITS
+from ..sources.sinks import write_table
+
+# Declared schema of every star table (DDL), used when the tables are written.
+TABLE_SCHEMAS = {
+    "dim_department": schemas.DIM_DEPARTMENT, "dim_job_role": schemas.DIM_JOB_ROLE,
+    "dim_employee": schemas.DIM_EMPLOYEE, "dim_time": schemas.DIM_TIME,
+    "fact_attrition": schemas.FACT_ATTRITION, "fact_performance": schemas.FACT_PERFORMANCE,
+}
 
 DEPT = {"Department": "department_name"}
 ROLE = {"JobRole": "job_role_name"}
@@ -98,3 +107,13 @@ class Star:
             "fact_performance": self.fact_performance(),
         }
         return check_constraints(tables, star_rules(VARCHAR_LIMITS))
+
+    def write(self, root: str, mode: str = "overwrite") -> dict[str, str]:
+        """Write the six star tables (dims first, then facts) with their declared
+        schemas under ``root``; returns table → path."""
+        paths = {}
+        for name, schema in TABLE_SCHEMAS.items():
+            path = f"{root.rstrip('/')}/{name}"
+            write_table(getattr(self, name)(), path, schema=schema, mode=mode)
+            paths[name] = path
+        return paths

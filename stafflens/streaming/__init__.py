@@ -1 +1,8 @@
-"""stafflens."""
+"""Streaming: intentionally empty.
+
+The analyses are one-shot batch work over a finished snapshot: there is no
+stream source, watermark, event-time window, state or late-data rule to
+reproduce, and the "rolling" figures are row frames over a finished monthly
+table (``operators.trends.rolling_event_trend``). No streaming operator is
+built; see README "Not built".
+"""

@@ -98,3 +98,15 @@ def test_ingest_csv_quarantines_bad_rows(spark, tmp_path):
     res = ingest_csv(spark, str(p), schema, mode="PERMISSIVE")
     assert sorted(r.a for r in res.rows.collect()) == [1, 3]
     assert len(res.quarantine.collect()) == 1  # read whole rows: Spark refuses a corrupt-column-only scan
+
+
+def test_star_write_uses_declared_schemas(spark, tmp_path):
+    from conftest import SF_SMALL
+    from stafflens.plans.star import TABLE_SCHEMAS, Star
+    from stafflens.sources.fixtures import HrTables
+    star = Star(HrTables(spark, SF_SMALL))
+    paths = star.write(str(tmp_path / "star"))
+    for name, schema in TABLE_SCHEMAS.items():
+        back = spark.read.parquet(paths[name])
+        assert [(f.name, f.dataType) for f in back.schema.fields] == [(f.name, f.dataType) for f in schema.fields]
+    assert spark.read.parquet(paths["fact_attrition"]).count() == star.staging().count()
