@@ -144,3 +144,29 @@ def two_group_gap(
         aggs += [F.avg(F.when(s == a, as_double(x))).alias(names["mean_a"]),
                  F.avg(F.when(s == b, as_double(x))).alias(names["mean_b"])]
     return df.groupBy(*by).agg(*aggs)
+
+
+def event_rate(
+    members: DataFrame,
+    events: DataFrame,
+    by: Cols,
+    *,
+    key: str = "employee_id",
+    n_name: str = "total_employees",
+    hits_name: str = "total_exits",
+    rate_name: str = "attrition_rate_pct",
+    digits: int = 2,
+) -> DataFrame:
+    """W09 over a member ⟕ event join: rows and matched events per group, and the rate.
+
+    Same figures as ``COUNT(*)`` / ``COUNT(event.key)`` over the fanned-out left
+    join (a member with k events is k rows, one without is one row), computed
+    without the fan-out: events are counted per key first (partial aggregation
+    absorbs a key holding a third of all events), then joined 1:1, and
+    Σ max(k, 1) / Σ k replace the two counts.
+    """
+    per_key = events.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
+    k = F.coalesce(F.col("_k"), F.lit(0))
+    out = members.join(per_key, key, "left").groupBy(*by).agg(
+        F.sum(F.greatest(k, F.lit(1))).alias(n_name), F.sum(k).alias(hits_name))
+    return out.withColumn(rate_name, fround(pct(hits_name, n_name), digits))

@@ -68,20 +68,10 @@ def q02(spark, sf_dir):
 
 @register("q03_rate_dept_gender")
 def q03(spark, sf_dir):
-    """Employees ⟕ exit events, counted per (department, gender).
-
-    The left join fans out (an employee with k exits is k rows). Exits are
-    first counted per employee (partial aggregation absorbs a hot employee),
-    then joined 1:1; COUNT(*) of the fan-out = Σ max(k, 1), COUNT(exit) = Σ k.
-    """
+    """Employees ⟕ exit events per (department, gender), fan-out counts without the fan-out."""
     t = _t(spark, sf_dir)
-    exits = (t.retention_fact().where(F.col("event_type") == V.EXIT_EVENT)
-             .groupBy("employee_id").agg(F.count(F.lit(1)).alias("_k")))
-    joined = t.dim_employee_wide().join(exits, "employee_id", "left")
-    k = F.coalesce(F.col("_k"), F.lit(0))
-    out = joined.groupBy("department", "gender").agg(
-        F.sum(F.greatest(k, F.lit(1))).alias("total_employees"), F.sum(k).alias("total_exits"))
-    out = out.withColumn("attrition_rate_pct", fround(pct("total_exits", "total_employees"), 2))
+    exits = t.retention_fact().where(F.col("event_type") == V.EXIT_EVENT).select("employee_id")
+    out = rates.event_rate(t.dim_employee_wide(), exits, ["department", "gender"])
     return out.orderBy(F.col("department").asc_nulls_last(), F.col("attrition_rate_pct").desc_nulls_first())
 
 
