@@ -58,6 +58,7 @@ def main() -> None:
         "queries": timings,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "prepare_sec": prepare,
+        "total_with_prepare_sec": round(sum(timings.values()) + prepare, 3),
         "cpus": int(cpus),
         "reps": reps,
     }))

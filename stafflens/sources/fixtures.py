@@ -33,8 +33,16 @@ from pyspark.sql import functions as F
 _PLANS: dict[tuple, DataFrame] = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # remote session
+        app = None
+    return app, id(getattr(spark, "_jsparkSession", spark))
+
+
 def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(getattr(spark, "_jsparkSession", spark)),) + key
+    k = _session_key(spark) + key
     if k not in _PLANS:
         _PLANS[k] = build()
     return _PLANS[k]
