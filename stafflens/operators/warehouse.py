@@ -27,17 +27,35 @@ from .ranking import with_surrogate_key
 SMALL_DIM_MAX_ROWS = 1_000_000
 
 
+class NaturalKeyConflict(ValueError):
+    """A natural key maps to more than one dimension row (UNIQUE would reject it)."""
+
+
 def build_dim(df: DataFrame, columns: dict[str, str], key_name: str, *, distinct: bool = True,
-              order: Sequence[str] | None = None) -> DataFrame:
+              order: Sequence[str] | None = None, natural_key: str | None = None) -> DataFrame:
     """Project + rename ``columns`` (source → target), optionally distinct,
-    and add a dense ``key_name`` following ``order`` (default: all target columns)."""
+    and add a dense ``key_name`` following ``order`` (default: all target columns).
+
+    With ``natural_key`` the dimension must hold one row per natural key: a key
+    with conflicting attributes (or repeated rows when ``distinct`` is off)
+    raises ``NaturalKeyConflict``. The check reads the dimension's checkpointed
+    copy, so it costs one aggregation over the dimension, not over the source.
+    """
     proj = df.select(*[F.col(src).alias(dst) for src, dst in columns.items()])
     if distinct:
         proj = proj.distinct()
     targets = list(columns.values())
     primary = list(order or targets)
     order_cols = [F.col(c).asc_nulls_last() for c in primary + [t for t in targets if t not in primary]]
-    return with_surrogate_key(proj, order_cols, key_name)
+    dim = with_surrogate_key(proj, order_cols, key_name)
+    if natural_key is not None:
+        dupes = (dim.where(F.col(natural_key).isNotNull()).groupBy(natural_key)
+                 .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+        sample = dupes.limit(3).collect()
+        if sample:
+            raise NaturalKeyConflict(
+                f"{natural_key}: {', '.join(repr(r[0]) for r in sample)} map to several rows")
+    return dim
 
 
 def build_dim_time(dates: DataFrame, date_col: str, key_name: str = "time_key") -> DataFrame:

@@ -69,16 +69,18 @@ class Star:
 
     def dim_department(self) -> DataFrame:
         return self._once("dim_department", lambda: build_dim(
-            self.staging().where(F.col("Department").isNotNull()), DEPT, "department_id"))
+            self.staging().where(F.col("Department").isNotNull()), DEPT, "department_id",
+            natural_key="department_name"))
 
     def dim_job_role(self) -> DataFrame:
         return self._once("dim_job_role", lambda: build_dim(
-            self.staging().where(F.col("JobRole").isNotNull()), ROLE, "job_role_id"))
+            self.staging().where(F.col("JobRole").isNotNull()), ROLE, "job_role_id",
+            natural_key="job_role_name"))
 
     def dim_employee(self) -> DataFrame:
         return self._once("dim_employee", lambda: build_dim(
             self.staging().where(F.col("EmployeeNumber").isNotNull()), EMPLOYEE, "employee_key",
-            distinct=False, order=["employee_id"]))
+            distinct=False, order=["employee_id"], natural_key="employee_id"))
 
     def _emp_lookup(self) -> Lookup:
         return Lookup(self.dim_employee(), "EmployeeNumber", "employee_id", "employee_key")

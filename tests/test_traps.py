@@ -188,3 +188,12 @@ def test_confusion_metrics(spark):
     r = scoring.confusion_metrics(df, F.col("p"), F.col("a") == "Yes").collect()[0]
     assert (r.tp, r.fp, r.fn, r.tn) == (1, 1, 1, 2)
     assert (r.precision, r.recall, r.accuracy) == (0.5, 0.5, 0.6)
+
+
+def test_build_dim_raises_on_conflicting_attributes(spark):
+    src = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, name string")
+    with pytest.raises(warehouse.NaturalKeyConflict):
+        warehouse.build_dim(src, {"id": "employee_id", "name": "name"}, "k", natural_key="employee_id")
+    ok = warehouse.build_dim(src.where("id = 2 or name = 'a'"), {"id": "employee_id", "name": "name"}, "k",
+                             natural_key="employee_id")
+    assert sorted((r.k, r.employee_id) for r in ok.collect()) == [(1, 1), (2, 2)]
