@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 # Plan objects (not data) are reused per session and directory: building the
 # 32-column projection costs ~1000 driver↔JVM calls, independent of data size.
 _PLANS: dict[tuple, DataFrame] = {}
+_PLANS_LOCK = threading.RLock()
 
 
 def _session_key(spark: SparkSession) -> tuple:
@@ -43,9 +45,10 @@ def _session_key(spark: SparkSession) -> tuple:
 
 def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
     k = _session_key(spark) + key
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
+    with _PLANS_LOCK:  # one writer per stored table, even with concurrent callers
+        if k not in _PLANS:
+            _PLANS[k] = build()
+        return _PLANS[k]
 
 
 def clear_plan_cache() -> None:
