@@ -13,6 +13,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _default_driver_memory() -> str:
+    """Half of the host's RAM, between 1 and 16 GB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gb = max(1, min(16, int(total / 2**30 * 0.5)))
+    return f"{gb}g"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "stafflens") -> SparkSession:
     """Local session with AQE on and the UI off (tests, bench)."""
     builder = (
@@ -26,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("STAFFLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("STAFFLENS_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

@@ -9,7 +9,9 @@ Plan shape (scales with the data):
   aggregation, so a customer holding a third of all orders still leaves one
   partial row per task. The last order's status and priority come from
   ``max_by(…, o_orderkey)`` in the same aggregate, not from a second scan
-  joined back.
+  joined back. Their string buffers make Spark plan a sort-based aggregate;
+  the alternative (max key in a hash aggregate, then ``orders`` joined back on
+  the key) would shuffle every order a second time, which costs more.
 * ``customer`` ⋈ per-customer aggregate is a shuffle join on the customer key;
   the aggregate already arrives hash-partitioned on it.
 * ``nation`` ⋈ ``region`` (25 × 5 rows in TPC-H) carry no hint: the planner
