@@ -48,7 +48,8 @@ def build_dim(df: DataFrame, columns: dict[str, str], key_name: str, *, distinct
     primary = list(order or targets)
     order_cols = [F.col(c).asc_nulls_last() for c in primary + [t for t in targets if t not in primary]]
     dim = with_surrogate_key(proj, order_cols, key_name)
-    if natural_key is not None:
+    # A distinct projection of the key alone cannot repeat it: nothing to check.
+    if natural_key is not None and not (distinct and targets == [natural_key]):
         dupes = (dim.where(F.col(natural_key).isNotNull()).groupBy(natural_key)
                  .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
         sample = dupes.limit(3).collect()
