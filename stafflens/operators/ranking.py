@@ -10,9 +10,10 @@ global position is computed the way a distributed sort numbers its output:
 3. checkpoint (reliable, into ``spark.checkpoint.dir``) so the counting pass
    and the numbering pass see the same partitions even if executors are lost
    or the range sampler would pick other bounds on re-execution;
-4. count rows per partition (one row per partition), turn counts into offsets
-   and broadcast them — their size is bounded by the partition count;
-5. global number = offset of the partition + position inside it + 1.
+4. count rows per partition on the checkpoint (one number per partition,
+   bounded by the partition count) and turn the counts into offsets;
+5. global number = offset of the partition (an array literal indexed by the
+   partition index) + position inside it + 1 — a narrow projection.
 
 Rank within a few very large partitions (W22) uses a histogram of
 (partition, score) instead of sorting raw rows: rank = 1 + rows with a better
@@ -42,26 +43,28 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     """1-based position of every row in ``order`` (give a unique tie-break last).
 
     Adds ``name`` (BIGINT) and, if ``total_name`` is set, the total row count.
+    The per-partition row counts (one number per range partition, bounded by
+    ``num_partitions``) are computed once on the checkpoint and applied as a
+    literal offset table, so the numbering itself is a narrow projection.
     """
     ensure_checkpoint_dir(df.sparkSession)
     n = _num_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_total"),
-    )
-    # One row per range partition: bounded by num_partitions, safe to broadcast.
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    out = out.withColumn(name, (F.col("_offset") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1).cast("bigint"))
+    pid = F.shiftright("_mid", 33)
+    counts = {r[0]: r[1] for r in tagged.groupBy(pid).agg(F.count(F.lit(1))).collect()}
+    width = max(counts, default=-1) + 1
+    offsets, running = [], 0
+    for p in range(width):
+        offsets.append(running)
+        running += counts.get(p, 0)
+    table = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array().cast("array<bigint>")
+    position = F.element_at(table, (pid + 1).cast("int")) + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1
+    out = tagged.withColumn(name, position.cast("bigint"))
     if total_name:
-        out = out.withColumnRenamed("_total", total_name)
-    return out.drop("_pid", "_mid", "_offset", "_total")
+        out = out.withColumn(total_name, F.lit(running).cast("bigint"))
+    return out.drop("_mid")
 
 
 def with_surrogate_key(df: DataFrame, order: Sequence[Column | str], key_name: str,
