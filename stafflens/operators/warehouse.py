@@ -156,20 +156,19 @@ def _scalar_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame
 
 def _unique_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     """UNIQUE rules of one table in one shuffle: (column, value) pairs counted,
-    rows of repeated non-NULL values summed per column."""
+    rows of repeated non-NULL values summed per column, one row per rule."""
     cols = [r.column for r in rules]
     long = (df.select([F.col(c).cast("string").alias(c) for c in cols])
             .unpivot([], cols, "column_name", "value")
             .where(F.col("value").isNotNull()))
     per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    found = per_value.groupBy("column_name").agg(
-        F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0))).alias("violations"))
-    # One row per rule even when the table is empty (no (column, value) pairs at all).
-    expected = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
-    return (expected.join(found, "column_name", "left")
-            .select(F.lit(table).alias("table_name"), F.lit("unique").alias("rule"), "column_name",
-                    F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations")))
+    repeated = F.col("_n") > 1
+    one = per_value.agg(*[F.coalesce(F.sum(F.when((F.col("column_name") == c) & repeated, F.col("_n"))), F.lit(0))
+                          .alias(f"_v{i}") for i, c in enumerate(cols)])
+    stacked = ", ".join(f"'{c}', _v{i}" for i, c in enumerate(cols))
+    return one.selectExpr(f"stack({len(cols)}, {stacked}) AS (column_name, violations)").select(
+        F.lit(table).alias("table_name"), F.lit("unique").alias("rule"), "column_name",
+        F.col("violations").cast("bigint").alias("violations"))
 
 
 def _reference_rule(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
