@@ -110,3 +110,13 @@ def test_star_write_uses_declared_schemas(spark, tmp_path):
         back = spark.read.parquet(paths[name])
         assert [(f.name, f.dataType) for f in back.schema.fields] == [(f.name, f.dataType) for f in schema.fields]
     assert spark.read.parquet(paths["fact_attrition"]).count() == star.staging().count()
+
+
+def test_stored_tables_equal_direct_derivation(spark):
+    from conftest import SF_SMALL
+    from stafflens.sources.fixtures import HrTables
+    stored, direct = HrTables(spark, SF_SMALL), HrTables(spark, SF_SMALL, materialize=False)
+    for name in ("staging", "performance_fact"):
+        a, b = getattr(stored, name)(), getattr(direct, name)()
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
