@@ -87,6 +87,42 @@ def group_profile(df: DataFrame, by: Cols, metrics: Sequence[tuple[str, Column]]
     return df.groupBy(*by).agg(*[expr.alias(name) for name, expr in metrics])
 
 
+# --- two-level aggregation: per-key moments before a join ----------------------------------------
+def key_moments(df: DataFrame, key: str, x: str, *, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per ``key``: rows (``_rows``), non-NULL count (``_n``), Σx (``_s``), Σx² (``_ss``).
+
+    Reducing a long history to one row per key before joining it to a
+    per-key table keeps the join input at the key count and lets partial
+    aggregation absorb a key that holds a third of all rows. Exact for
+    integer measures (sums are BIGINT).
+    """
+    v = F.col(x).cast("bigint")
+    return df.groupBy(key).agg(count_rows().alias("_rows"), F.count(v).alias("_n"), F.sum(v).alias("_s"),
+                               F.sum(v * v).alias("_ss"), *extra)
+
+
+def mm_rows() -> Column:
+    """COUNT(*) of the original rows, from ``key_moments`` rows."""
+    return F.sum("_rows")
+
+
+def mm_mean(digits: int | None = None) -> Column:
+    """AVG(x) of the original rows (Σx / count, one double division)."""
+    m = F.sum("_s").cast("double") / F.nullif(F.sum("_n"), F.lit(0)).cast("double")
+    return m if digits is None else fround(m, digits)
+
+
+def mm_sd(digits: int | None = None) -> Column:
+    """STDDEV_SAMP(x) of the original rows: (nΣx² − (Σx)²) / (n(n − 1)) in exact
+    integers (DECIMAL(38,0)), one division, square root; NULL below two values."""
+    n = F.sum("_n").cast("decimal(38,0)")
+    s = F.sum("_s").cast("decimal(38,0)")
+    ss = F.sum("_ss").cast("decimal(38,0)")
+    var = (n * ss - s * s).cast("double") / (n * (n - F.lit(1))).cast("double")
+    sd = F.when(F.sum("_n") >= 2, F.sqrt(var))
+    return sd if digits is None else fround(sd, digits)
+
+
 # --- W17 -----------------------------------------------------------------------------------------
 def vs_parent_mean(agg: DataFrame, mean_col: str, parent: Sequence[str] = (), *,
                    weight_col: str | None = None) -> Column:

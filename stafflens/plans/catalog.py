@@ -183,12 +183,18 @@ def q14(spark, sf_dir):
     return out.withColumn("bar_chart", bar).orderBy(F.col("performance_score").desc_nulls_first())
 
 
+def _score_moments(t: HrTables) -> DataFrame:
+    """Score history reduced to one row per employee (rows, count, Σ, Σ²) before any join."""
+    return stats.key_moments(t.performance_fact(), "employee_id", "performance_score")
+
+
 @register("q15_role_vs_dept")
 def q15(spark, sf_dir):
     t = _t(spark, sf_dir)
-    rows = t.performance_fact().join(t.dim_employee_wide(), "employee_id", "inner")
+    rows = _score_moments(t).join(t.dim_employee_wide().select("employee_id", "department", "role"),
+                                  "employee_id", "inner")
     agg = stats.group_profile(rows, ["department", "role"], [
-        ("_mean", stats.m_mean("performance_score")),
+        ("_mean", stats.mm_mean()),
         ("employee_count", stats.m_count_distinct("employee_id")),
     ])
     gap = stats.vs_parent_mean(agg, "_mean", ["department"])
@@ -223,28 +229,27 @@ def q17(spark, sf_dir):
 
 @register("q18_score_by_tenure")
 def q18(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    stg = t.staging().select(F.col("EmployeeNumber").alias("employee_id"), "YearsAtCompany")
-    rows = t.performance_fact().join(stg, "employee_id", "inner").withColumn(
+    rows = _moments_with_staging(_t(spark, sf_dir), "YearsAtCompany").withColumn(
         "tenure_bucket", band("YearsAtCompany", V.TENURE_BANDS, V.TENURE_ELSE))
     out = stats.group_profile(rows, ["tenure_bucket"], [
-        ("avg_performance_score", stats.m_mean("performance_score", 2)),
+        ("avg_performance_score", stats.mm_mean(2)),
         ("employee_count", stats.m_count_distinct("employee_id")),
-        ("score_stddev", stats.m_sd("performance_score", 3)),
+        ("score_stddev", stats.mm_sd(3)),
     ])
     return out.orderBy("tenure_bucket")
 
 
-def _scores_with_staging(t: HrTables, *cols: str) -> DataFrame:
+def _moments_with_staging(t: HrTables, *cols: str) -> DataFrame:
+    """Per-employee score moments joined 1:1 to the staging columns."""
     stg = t.staging().select(F.col("EmployeeNumber").alias("employee_id"), *cols)
-    return t.performance_fact().join(stg, "employee_id", "inner")
+    return _score_moments(t).join(stg, "employee_id", "inner")
 
 
 @register("q19_score_by_training")
 def q19(spark, sf_dir):
-    rows = _scores_with_staging(_t(spark, sf_dir), "TrainingTimesLastYear")
+    rows = _moments_with_staging(_t(spark, sf_dir), "TrainingTimesLastYear")
     agg = stats.group_profile(rows, ["TrainingTimesLastYear"], [
-        ("_mean", stats.m_mean("performance_score")), ("employee_count", stats.m_count())])
+        ("_mean", stats.mm_mean()), ("employee_count", stats.mm_rows())])
     out = agg.select("TrainingTimesLastYear", fround("_mean", 2).alias("avg_performance"), "employee_count",
                      fround(stats.vs_parent_mean(agg, "_mean"), 3).alias("vs_overall_avg"))
     return out.orderBy(F.col("TrainingTimesLastYear").asc_nulls_last())
@@ -252,11 +257,13 @@ def q19(spark, sf_dir):
 
 @register("q20_score_by_satisfaction")
 def q20(spark, sf_dir):
-    rows = _scores_with_staging(_t(spark, sf_dir), "JobSatisfaction", "Attrition")
-    out = rates.group_rate(rows, ["JobSatisfaction"], left(), n_name="employee_count", hits_name="attrited_count",
-                           extra=[stats.m_mean("performance_score", 2).alias("avg_performance")])
-    return (out.select("JobSatisfaction", "avg_performance", "employee_count", "attrited_count",
-                       "attrition_rate_pct").orderBy(F.col("JobSatisfaction").desc_nulls_first()))
+    rows = _moments_with_staging(_t(spark, sf_dir), "JobSatisfaction", "Attrition")
+    rows_left = F.sum(F.when(left(), F.col("_rows")).otherwise(F.lit(0)))
+    out = stats.group_profile(rows, ["JobSatisfaction"], [
+        ("avg_performance", stats.mm_mean(2)), ("employee_count", stats.mm_rows()),
+        ("attrited_count", rows_left)])
+    out = out.withColumn("attrition_rate_pct", fround(pct("attrited_count", "employee_count"), 2))
+    return out.orderBy(F.col("JobSatisfaction").desc_nulls_first())
 
 
 @register("q21_rating_by_dept")

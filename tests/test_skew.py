@@ -74,3 +74,24 @@ def test_hierarchy_hot_manager(spark):
             x, d = parent[x], d + 1
         return d
     assert got == {e: depth(e) for e, _ in edges}
+
+
+def test_key_moments_equal_raw_row_statistics(spark):
+    from stafflens.operators import stats
+    rnd = random.Random(23)
+    rows = [(0 if i % 3 == 0 else rnd.randrange(500), rnd.choice("xyz"), rnd.choice([None, 1, 2, 3, 4, 5]))
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, g string, x int")
+    # Give every key one group (as an employee has one department), key 0 holds a third of the rows.
+    one_group = df.groupBy("k").agg(F.min("g").alias("g"))
+    df1 = df.drop("g").join(one_group, "k")
+    mom = stats.key_moments(df1.drop("g"), "k", "x").join(one_group, "k")
+    got = {r.g: (r.m, r.sd, r.n) for r in mom.groupBy("g").agg(
+        stats.mm_mean().alias("m"), stats.mm_sd().alias("sd"), stats.mm_rows().alias("n")).collect()}
+    raw = {r.g: (r.m, r.sd, r.n) for r in df1.groupBy("g").agg(
+        F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n")).collect()}
+    assert got.keys() == raw.keys()
+    for g in raw:
+        assert got[g][0] == pytest.approx(raw[g][0], rel=1e-12)
+        assert got[g][1] == pytest.approx(raw[g][1], rel=1e-9)
+        assert got[g][2] == raw[g][2]
