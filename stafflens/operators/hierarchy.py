@@ -7,8 +7,9 @@ frontier on the parent key, so the work per round is a shuffle join and the
 number of rounds is the tree depth. Rows never reached from a root (cycles,
 orphans) are not returned, as in SQL.
 
-The loop needs one action per round (the size of the new level, counted on
-its stored copy; it decides the join strategy of the next round and the stop).
+The loop needs one action per round: the checkpoint of the new level, whose
+row count is observed in the same job (it decides the join strategy of the
+next round and the stop).
 Lineage is cut
 with a reliable checkpoint every ``checkpoint_every`` rounds (default: every
 round), so each level is computed once — the emptiness test and the final
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 FRONTIER_BROADCAST_MAX_ROWS = 2_000_000
@@ -49,10 +50,17 @@ def hierarchy_depth(
     ensure_checkpoint_dir(nodes.sparkSession)
     if materialize_input:
         nodes = nodes.checkpoint(eager=True)
-    frontier = nodes.where(F.col(parent).isNull()).withColumn(depth_name, F.lit(1))
-    if checkpoint_every == 1:
-        frontier = frontier.checkpoint(eager=True)
-    size = frontier.count()
+    def stored_level(level: DataFrame, store: bool) -> tuple[DataFrame, int]:
+        """The level (checkpointed when ``store``) and its row count; the count is
+        observed during the checkpoint job instead of a second job."""
+        if not store:
+            return level, level.count()
+        obs = Observation()
+        level = level.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        return level, obs.get["n"]
+
+    frontier, size = stored_level(nodes.where(F.col(parent).isNull()).withColumn(depth_name, F.lit(1)),
+                                  checkpoint_every == 1)
     levels = [frontier]
     depth = 1
     # Children are looked up by parent key; rows without a parent never match.
@@ -68,10 +76,7 @@ def hierarchy_depth(
             keys = F.broadcast(keys)
         nxt = edges.join(keys, edges[parent] == keys["_p"], "inner").drop("_p")
         depth += 1
-        nxt = nxt.withColumn(depth_name, F.lit(depth))
-        if depth % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        size = nxt.count()
+        nxt, size = stored_level(nxt.withColumn(depth_name, F.lit(depth)), depth % checkpoint_every == 0)
         if size == 0:
             break
         if depth > max_depth:
