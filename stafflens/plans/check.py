@@ -39,7 +39,7 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return repr(v + 0.0)
+        return repr(v)  # -0.0 stays distinct from 0.0, as a value hash would see it
     if isinstance(v, decimal.Decimal):
         return repr(float(v))
     if isinstance(v, (_dt.date, _dt.datetime)):
