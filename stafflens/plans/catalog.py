@@ -10,6 +10,7 @@ and the row set is what the analysis defines.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 from datetime import date
 
@@ -46,8 +47,9 @@ def left() -> Column:
 
 
 def _add_months(d: date, months: int) -> date:
+    """Calendar month arithmetic, clamped to the month's last day (as ``add_months``)."""
     y, m = divmod(d.year * 12 + (d.month - 1) + months, 12)
-    return date(y, m + 1, min(d.day, 28 if m + 1 == 2 else 30 if m + 1 in (4, 6, 9, 11) else 31))
+    return date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
 
 
 # =============================================================== A: attrition & retention
@@ -134,7 +136,7 @@ def q11(spark, sf_dir):
     return out.orderBy("month")
 
 
-def _scored_flight_risk(t: HrTables) -> DataFrame:
+def _flight_risk_base(t: HrTables) -> DataFrame:
     stg = t.staging().select("EmployeeNumber", "YearsAtCompany", "OverTime", "JobSatisfaction", "MonthlyIncome")
     de = t.dim_employee_wide().select("employee_id", "department", "role")
     base = de.join(stg, de.employee_id == stg.EmployeeNumber, "inner").drop("EmployeeNumber")
@@ -144,7 +146,7 @@ def _scored_flight_risk(t: HrTables) -> DataFrame:
 
 @register("q12_flight_risk")
 def q12(spark, sf_dir):
-    snap = _scored_flight_risk(_t(spark, sf_dir))
+    snap = _flight_risk_base(_t(spark, sf_dir))
     risk = scoring.points([
         ("performance_score", "<", 3, V.RISK_POINTS_LOW_SCORE),
         ("YearsAtCompany", "<", 2, V.RISK_POINTS_SHORT_TENURE),
@@ -571,10 +573,6 @@ def q49(spark, sf_dir):
     return exec_dashboard(_t(spark, sf_dir).staging()).orderBy("attrition_rank", "Department")
 
 
-def _proxy(features) -> Column:
-    return scoring.weighted(features)
-
-
 @register("q50_risk_proxy")
 def q50(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -582,7 +580,7 @@ def q50(spark, sf_dir):
                              "YearsAtCompany", "OverTime", "JobSatisfaction", "StockOptionLevel", "WorkLifeBalance",
                              "EnvironmentSatisfaction", "NumCompaniesWorked")
     snap = scoring.asof_snapshot(stg, t.performance_fact(), left_key="EmployeeNumber", as_of=AS_OF)
-    proxy = F.round(_proxy(V.PROXY_FEATURES), 3)
+    proxy = F.round(scoring.weighted(V.PROXY_FEATURES), 3)
     scored = snap.select("EmployeeNumber", "Department", "JobRole", F.col("Attrition").alias("actual_attrition"),
                          "MonthlyIncome", "YearsAtCompany", proxy.alias("_p"))
     p = F.col("_p")
@@ -600,7 +598,7 @@ def q50(spark, sf_dir):
 @register("qb_confusion")
 def qb(spark, sf_dir):
     stg = _t(spark, sf_dir).staging()
-    score = _proxy(V.PROXY_FEATURES[:7])
+    score = scoring.weighted(V.PROXY_FEATURES[:7])
     rows = stg.select(
         F.when(score >= F.lit(V.PROXY_MEDIUM), V.PREDICTED_YES).otherwise(V.PREDICTED_NO).alias("predicted"),
         F.col("Attrition").alias("actual"))
