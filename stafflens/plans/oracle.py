@@ -145,11 +145,13 @@ ORACLE["q02_cohort_retention"] = with_hr(
   {R(PCT('total_hired - exited_same_year', 'total_hired'), 2)} AS retention_rate_pct
 FROM (
   SELECT h.hire_year, COUNT(DISTINCT h.employee_id) AS total_hired,
-    COUNT(DISTINCT CASE WHEN e.exit_year = h.hire_year THEN e.employee_id END) AS exited_same_year
-  FROM h LEFT JOIN e ON h.employee_id = e.employee_id
+    COUNT(DISTINCT x.employee_id) FILTER (WHERE x.exit_year = h.hire_year) AS exited_same_year
+  FROM hired h LEFT JOIN gone x ON h.employee_id = x.employee_id
   GROUP BY h.hire_year) g""",
-    f"""h AS (SELECT employee_id, CAST(YEAR(COALESCE(hire_date, {AS_OF_SQL})) AS INT) AS hire_year FROM dim_employee_wide),
-e AS (SELECT employee_id, CAST(YEAR(event_date) AS INT) AS exit_year FROM retention_fact WHERE event_type = 'exit')""")
+    f"""hired AS (SELECT employee_id, CAST(YEAR(COALESCE(hire_date, {AS_OF_SQL})) AS INT) AS hire_year
+  FROM dim_employee_wide),
+gone AS (SELECT employee_id, CAST(YEAR(event_date) AS INT) AS exit_year FROM retention_fact
+  WHERE event_type = 'exit')""")
 
 ORACLE["q03_rate_dept_gender"] = with_hr(
     f"""SELECT de.department, de.gender, COUNT(*) AS total_employees, COUNT(x.employee_id) AS total_exits,
@@ -291,14 +293,14 @@ ORACLE["q21_rating_by_dept"] = with_hr(
 FROM staging GROUP BY Department""")
 
 ORACLE["q22_declining"] = with_hr(
-    f"""SELECT DISTINCT po.employee_id, de.department, de.role, po.first_score, po.latest_score,
-  po.latest_score - po.first_score AS score_change,
-  CASE WHEN po.latest_score - po.first_score <= -2 THEN {q(V.DECLINE_SIGNIFICANT)}
-       WHEN po.latest_score - po.first_score = -1 THEN {q(V.DECLINE_MILD)}
+    f"""SELECT DISTINCT ends.employee_id, de.department, de.role, ends.first_score, ends.latest_score,
+  ends.latest_score - ends.first_score AS score_change,
+  CASE WHEN ends.latest_score - ends.first_score <= -2 THEN {q(V.DECLINE_SIGNIFICANT)}
+       WHEN ends.latest_score - ends.first_score = -1 THEN {q(V.DECLINE_MILD)}
        ELSE {q(V.DECLINE_OTHER)} END AS decline_severity
-FROM po JOIN dim_employee_wide de ON po.employee_id = de.employee_id
-WHERE po.latest_score < po.first_score""",
-    """po AS (
+FROM ends JOIN dim_employee_wide de ON ends.employee_id = de.employee_id
+WHERE ends.latest_score < ends.first_score""",
+    """ends AS (
   SELECT employee_id, date_key, performance_score,
     FIRST_VALUE(performance_score) OVER w AS first_score,
     LAST_VALUE(performance_score) OVER w AS latest_score
@@ -349,12 +351,12 @@ ORACLE["q27_hike_by_field"] = with_hr(
 FROM staging GROUP BY EducationField""")
 
 ORACLE["q28_below_median"] = with_hr(
-    f"""SELECT s.EmployeeNumber, s.Department, s.JobRole, s.MonthlyIncome, {R('dm.median_income', 0)} AS dept_median,
-  {R('s.MonthlyIncome - dm.median_income', 0)} AS diff_from_median,
-  CASE WHEN s.MonthlyIncome < dm.median_income THEN {q(V.BELOW_MEDIAN)} ELSE {q(V.AT_OR_ABOVE)} END AS pay_status,
+    f"""SELECT s.EmployeeNumber, s.Department, s.JobRole, s.MonthlyIncome, {R('med.m', 0)} AS dept_median,
+  {R('s.MonthlyIncome - med.m', 0)} AS diff_from_median,
+  CASE WHEN s.MonthlyIncome < med.m THEN {q(V.BELOW_MEDIAN)} ELSE {q(V.AT_OR_ABOVE)} END AS pay_status,
   s.Attrition AS already_left
-FROM staging s JOIN dm ON s.Department = dm.Department""",
-    f"""dm AS (SELECT Department, {_pc('0.5')} AS median_income FROM staging GROUP BY Department)""")
+FROM staging s JOIN med ON s.Department = med.Department""",
+    f"""med AS (SELECT Department, {_pc('0.5')} AS m FROM staging GROUP BY Department)""")
 
 ORACLE["q29_stock_by_dept"] = with_hr(
     f"""SELECT Department, CAST(SUM(StockOptionLevel) AS BIGINT) AS total_stock_options,
@@ -432,12 +434,12 @@ ORACLE["q39_corr_distance"] = _corr("DistanceFromHome", "corr_distance_vs_attrit
 ORACLE["q40_corr_income"] = _corr("MonthlyIncome", "corr_income_vs_attrition", V.CORR_INCOME_TEXT)
 
 ORACLE["q41_org_depth"] = with_hr(
-    """SELECT employee_id, role, department, CAST(depth AS INTEGER) AS depth FROM org_tree""",
-    """org_tree AS (
-  SELECT employee_id, manager_id, role, department, 1 AS depth FROM dim_employee_wide WHERE manager_id IS NULL
+    """SELECT employee_id, role, department, CAST(depth AS INTEGER) AS depth FROM reach""",
+    """reach AS (
+  SELECT employee_id, role, department, 1 AS depth FROM dim_employee_wide WHERE manager_id IS NULL
   UNION ALL
-  SELECT e.employee_id, e.manager_id, e.role, e.department, t.depth + 1
-  FROM dim_employee_wide e JOIN org_tree t ON e.manager_id = t.employee_id)""",
+  SELECT child.employee_id, child.role, child.department, up.depth + 1
+  FROM reach up JOIN dim_employee_wide child ON child.manager_id = up.employee_id)""",
     recursive=True)
 
 ORACLE["q42_promotion_lag"] = with_hr(
@@ -497,8 +499,8 @@ ORACLE["q49_dashboard"] = with_hr(
   Department, total, exits, {R(PCT('exits', 'total'), 2)} AS attrition_rate_pct, avg_income, avg_satisfaction,
   avg_tenure, avg_wlb, avg_env_satisfaction, {R(PCT('overtime_count', 'total'), 1)} AS overtime_rate_pct,
   avg_stock_level
-FROM base""",
-    f"""base AS (
+FROM per_dept""",
+    f"""per_dept AS (
   SELECT Department, {N} AS total, {YES_N} AS exits, {R('AVG(MonthlyIncome)', 0)} AS avg_income,
     {R('AVG(JobSatisfaction)', 2)} AS avg_satisfaction, {R('AVG(YearsAtCompany)', 1)} AS avg_tenure,
     {R('AVG(WorkLifeBalance)', 2)} AS avg_wlb, {R('AVG(EnvironmentSatisfaction)', 2)} AS avg_env_satisfaction,
