@@ -120,3 +120,43 @@ def test_stored_tables_equal_direct_derivation(spark):
         a, b = getattr(stored, name)(), getattr(direct, name)()
         assert a.columns == b.columns
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_percentile_bands_exact_and_approx(spark):
+    import numpy as np
+    from stafflens.operators import stats
+    rnd = random.Random(9)
+    vals = [rnd.randint(1000, 20000) for _ in range(2000)]
+    df = spark.createDataFrame([("d", v) for v in vals], "g string, x int")
+    exact = stats.percentile_bands(df, ["g"], "x", [0.1, 0.5, 0.9], ["p10", "p50", "p90"]).collect()[0]
+    for p, name in ((10, "p10"), (50, "p50"), (90, "p90")):
+        assert exact[name] == pytest.approx(np.percentile(vals, p), rel=1e-12)  # linear interpolation
+    approx = stats.percentile_bands(df, ["g"], "x", [0.5], ["p50"], exact=False, accuracy=1000).collect()[0]
+    rank = sum(v <= approx.p50 for v in vals) / len(vals)  # approx_percentile bounds the rank error
+    assert abs(rank - 0.5) <= 0.01
+
+
+def test_write_table_append_and_conform(spark, tmp_path):
+    from pyspark.sql import types as T
+    from stafflens.sources.sinks import write_table
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("name", T.StringType(), True),
+                           T.StructField("extra", T.IntegerType(), True)])
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    path = str(tmp_path / "t")
+    write_table(df, path, schema=schema)
+    write_table(df, path, schema=schema, mode="append")
+    back = spark.read.parquet(path)
+    assert back.count() == 4
+    assert [(f.name, f.dataType) for f in back.schema.fields] == [(f.name, f.dataType) for f in schema.fields]
+    assert back.where("extra IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        write_table(df.drop("id"), str(tmp_path / "u"), schema=schema)
+
+
+def test_ingest_csv_failfast_raises_on_bad_row(spark, tmp_path):
+    from pyspark.sql import types as T
+    p = tmp_path / "bad.csv"
+    p.write_text("a,b\n1,x\noops,y\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    with pytest.raises(Exception):
+        ingest_csv(spark, str(p), schema, mode="FAILFAST").rows.collect()
