@@ -27,3 +27,13 @@ def test_queries_and_oracles_align():
     assert len(q) >= 60
     assert set(o) <= set(q)
     assert set(q) == set(o)
+
+
+def test_cli_list_and_run(spark, capsys, tmp_path):
+    from conftest import SF_SMALL
+    from stafflens.__main__ import main
+    assert main(["list"]) == 0
+    assert "q49_dashboard" in capsys.readouterr().out.split()
+    out = tmp_path / "q04"
+    assert main(["run", "q04_rate_marital", "--sf", SF_SMALL, "--out", str(out)]) == 0
+    assert spark.read.parquet(str(out)).count() == 3
