@@ -7,15 +7,20 @@ AQE may still convert it at run time from measured stage sizes).
 
 Group statistics joined back to rows (medians, role histograms) are not
 counted here: their size is only known after the aggregation, and AQE's
-runtime join selection already decides on the materialized size.
+runtime join selection already decides on the materialized size. Where one
+group may hold a large share of the rows, ``salted_join`` spreads it over
+several partitions without relying on AQE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+DEFAULT_SALT_BUCKETS = 32
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -26,3 +31,27 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` when its row count is proven <= max_rows, else ``df``."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def salted_join(rows: DataFrame, stats: DataFrame, cond_cols: Sequence[tuple[Column, str]], *,
+                salt_from: Sequence[str], buckets: int = DEFAULT_SALT_BUCKETS, how: str = "inner",
+                null_safe: bool = False) -> DataFrame:
+    """Join many ``rows`` to a small per-group ``stats`` table when one group may
+    hold a large share of the rows.
+
+    Each row gets a deterministic salt (hash of ``salt_from`` columns modulo
+    ``buckets``); every ``stats`` row is repeated once per bucket with
+    ``explode`` (``buckets`` × group count rows). The join key becomes
+    (group, salt), so a group holding a third of the rows is spread over
+    ``buckets`` partitions whether or not AQE broadcasts or splits it.
+
+    cond_cols: (row-side column, stats-side column name) pairs.
+    """
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(buckets)))
+    salted_stats = stats.withColumn("_salt_s", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast(
+        "array<bigint>")))
+    cond = salted_rows["_salt"] == salted_stats["_salt_s"]
+    for row_col, stat_col in cond_cols:
+        right = salted_stats[stat_col]
+        cond = cond & (row_col.eqNullSafe(right) if null_safe else row_col == right)
+    return salted_rows.join(salted_stats, cond, how).drop("_salt", "_salt_s")

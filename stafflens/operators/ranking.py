@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import salted_join
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -94,7 +95,7 @@ def global_ntile(df: DataFrame, order: Sequence[Column], k: int, name: str = "nt
 
 
 def rank_within(df: DataFrame, part: str, score: str, *, rank_name: str = "rank",
-                mean_name: str = "part_mean") -> DataFrame:
+                mean_name: str = "part_mean", salt_from: Sequence[str] | None = None) -> DataFrame:
     """RANK() by ``score`` descending (NULLs first) within ``part``, and the
     partition mean of ``score`` (unrounded), for every row.
 
@@ -102,7 +103,9 @@ def rank_within(df: DataFrame, part: str, score: str, *, rank_name: str = "rank"
     of a score is 1 + the number of rows with a better score in its partition
     (a window over the histogram, whose size is the number of distinct scores
     per partition, not the rows). Rows get their rank and mean by an equi-join
-    with the histogram (NULL-safe on both keys).
+    with the histogram (NULL-safe on both keys); with ``salt_from`` (row id
+    columns) the join is salted, so a (part, score) pair holding a third of the
+    rows is spread over several tasks.
     """
     hist = df.groupBy(part, score).agg(F.count(F.lit(1)).alias("_cnt"))
     better = (Window.partitionBy(part).orderBy(F.col(score).desc_nulls_first())
@@ -115,5 +118,9 @@ def rank_within(df: DataFrame, part: str, score: str, *, rank_name: str = "rank"
         (F.sum(F.col(score).cast("double") * F.col("_cnt")).over(whole)
          / F.sum(scored).over(whole)).alias(mean_name),
     )
+    if salt_from:
+        out = salted_join(df, hist, [(F.col(part), "_h_part"), (F.col(score), "_h_score")],
+                          salt_from=salt_from, null_safe=True)
+        return out.drop("_h_part", "_h_score")
     cond = F.col(part).eqNullSafe(F.col("_h_part")) & F.col(score).eqNullSafe(F.col("_h_score"))
     return df.join(hist, cond, "inner").drop("_h_part", "_h_score")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ColumnLike, as_double, col, count_rows, count_where, fround, pct, safe_div
+from .joins import salted_join
 
 Cols = Sequence[str | Column]
 
@@ -172,14 +173,21 @@ def group_median(df: DataFrame, by: Cols, x: str, name: str = "median", exact: b
 
 
 def vs_group_median(df: DataFrame, by: Sequence[str], x: str, *, median_name: str = "_median",
-                    exact: bool = True) -> DataFrame:
+                    exact: bool = True, salt_from: Sequence[str] | None = None) -> DataFrame:
     """Every row with its group's median joined back (``median_name``, unrounded).
 
     The medians are one row per group; AQE broadcasts them when the measured
-    size is small, else it is a shuffle join on ``by``. Rows with a NULL key
-    have no group and are dropped, as an inner join does.
+    size is small. With ``salt_from`` (row id columns) the join is salted, so a
+    group holding a third of the rows is spread over several tasks even as a
+    shuffle join. Rows with a NULL key have no group and are dropped, as an
+    inner join does.
     """
     med = group_median(df, by, x, median_name, exact)
+    if salt_from:
+        med = med.select(*[F.col(c).alias(f"_m_{c}") for c in by], median_name)
+        out = salted_join(df, med, [(F.col(c), f"_m_{c}") for c in by], salt_from=salt_from)
+        # Same column order as the plain ``join(on=by)``: keys first.
+        return out.select(*by, *[c for c in df.columns if c not in by], median_name)
     return df.join(med, list(by), "inner")
 
 

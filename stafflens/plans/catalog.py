@@ -168,7 +168,8 @@ def q13(spark, sf_dir):
     t = _t(spark, sf_dir)
     rows = _snapshot_scores(t).join(t.dim_employee_wide(), "employee_id", "inner").select(
         "employee_id", "department", "role", "performance_score")
-    out = ranking.rank_within(rows, "role", "performance_score", rank_name="role_rank", mean_name="_mean")
+    out = ranking.rank_within(rows, "role", "performance_score", rank_name="role_rank", mean_name="_mean",
+                              salt_from=["employee_id"])
     rounded = F.round(F.col("_mean").cast("decimal(28,10)"), 2)
     return out.select(
         "employee_id", "department", "role", "performance_score", "role_rank",
@@ -355,7 +356,8 @@ def q27(spark, sf_dir):
 @register("q28_below_median")
 def q28(spark, sf_dir):
     stg = _t(spark, sf_dir).staging().select("EmployeeNumber", "Department", "JobRole", "MonthlyIncome", "Attrition")
-    rows = stats.vs_group_median(stg, ["Department"], "MonthlyIncome", median_name="_median")
+    rows = stats.vs_group_median(stg, ["Department"], "MonthlyIncome", median_name="_median",
+                                 salt_from=["EmployeeNumber"])
     x, med = F.col("MonthlyIncome"), F.col("_median")
     return rows.select(
         "EmployeeNumber", "Department", "JobRole", "MonthlyIncome",

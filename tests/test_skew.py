@@ -95,3 +95,17 @@ def test_key_moments_equal_raw_row_statistics(spark):
         assert got[g][0] == pytest.approx(raw[g][0], rel=1e-12)
         assert got[g][1] == pytest.approx(raw[g][1], rel=1e-9)
         assert got[g][2] == raw[g][2]
+
+
+def test_salted_joins_equal_plain_joins(spark, members):
+    from stafflens.operators import stats
+    _, df = members
+    plain = {r.employee_id: (r.rk, r.m) for r in
+             ranking.rank_within(df, "department", "score", rank_name="rk", mean_name="m").collect()}
+    salted = {r.employee_id: (r.rk, r.m) for r in ranking.rank_within(
+        df, "department", "score", rank_name="rk", mean_name="m", salt_from=["employee_id"]).collect()}
+    assert plain == salted
+    a = sorted(tuple(r) for r in stats.vs_group_median(df, ["department"], "score", median_name="md").collect())
+    b = sorted(tuple(r) for r in stats.vs_group_median(df, ["department"], "score", median_name="md",
+                                                       salt_from=["employee_id"]).collect())
+    assert a == b and len(a) == N
