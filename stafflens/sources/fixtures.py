@@ -201,7 +201,8 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build, partition_by: tup
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        return spark.read.parquet(path).select(*df.columns)
+        # The declared schema fixes the partition column's type (no inference).
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     return _plan(spark, ("stored", name, sf_dir), write_then_read)
 
 
