@@ -160,3 +160,17 @@ def test_ingest_csv_failfast_raises_on_bad_row(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
     with pytest.raises(Exception):
         ingest_csv(spark, str(p), schema, mode="FAILFAST").rows.collect()
+
+
+def test_star_build_is_clean_and_complete(spark):
+    from conftest import SF_SMALL
+    from stafflens.plans.star import Star
+    from stafflens.sources.fixtures import HrTables
+    star = Star(HrTables(spark, SF_SMALL))
+    report = star.constraint_report().collect()
+    assert report and all(r.violations == 0 for r in report)
+    n = star.staging().count()
+    assert star.fact_attrition().count() == n == star.fact_performance().count() == star.dim_employee().count()
+    filled = ["percent_salary_hike", "stock_option_level", "overtime", "business_travel", "distance_from_home"]
+    fa = star.fact_attrition()
+    assert fa.where(" OR ".join(f"{c} IS NULL" for c in filled)).count() == 0
