@@ -33,12 +33,6 @@ from .joins import salted_join
 _LOW_BITS = (1 << 33) - 1
 
 
-def _num_partitions(df: DataFrame, requested: int | None) -> int:
-    if requested:
-        return requested
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number",
                       *, num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (give a unique tie-break last).
@@ -49,8 +43,11 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     literal offset table, so the numbering itself is a narrow projection.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge adjacent ranges of a small input; merged
+    # partitions stay in range order with contiguous task indices.
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = (ranged.sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     pid = F.shiftright("_mid", 33)
