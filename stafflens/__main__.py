@@ -4,6 +4,7 @@
     python -m stafflens run q49_dashboard [--sf DIR] [--show N] [--out PATH]
     python -m stafflens run-all [--sf DIR]
     python -m stafflens load --out PATH [--sf DIR]
+    python -m stafflens run q04_rate_marital --staging-csv HR.csv [--scores-csv S.csv] [--events-csv E.csv]
 
 ``--show`` prints the first N result rows (display only); ``--out`` writes the
 whole result as Parquet. A cluster session comes from ``spark-submit``; run
@@ -45,6 +46,9 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--out", required=True)
     for p in (run, run_all, load):
         p.add_argument("--cores", default="*")
+        p.add_argument("--staging-csv", help="the HR snapshot as CSV (header names as the staging schema)")
+        p.add_argument("--scores-csv", help="optional score history CSV (employee_id, date_key, performance_score)")
+        p.add_argument("--events-csv", help="optional event CSV (employee_id, event_date, event_type)")
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -52,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
             print(key)
         return 0
     spark = _session(args.cores)
+    if args.staging_csv:
+        from .sources.fixtures import register_csv_source
+        args.sf = register_csv_source(spark, args.staging_csv, args.scores_csv, args.events_csv)
     if args.cmd == "run":
         df = CATALOG[args.key](spark, args.sf)
         if args.out:
@@ -65,8 +72,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{key:32s} {n:>10d} rows {time.perf_counter() - t0:7.2f} s")
     elif args.cmd == "load":
         from .plans.star import Star
-        from .sources.fixtures import HrTables
-        for name, path in Star(HrTables(spark, args.sf)).write(args.out).items():
+        from .sources.fixtures import tables_for
+        for name, path in Star(tables_for(spark, args.sf)).write(args.out).items():
             print(f"{name:20s} {path}")
     return 0
 

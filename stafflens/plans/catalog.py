@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band, label, tier
 from ..functions.numeric import count_where, fround, pct, safe_div
 from ..operators import hierarchy, ranking, rates, scoring, stats, trends
-from ..sources.fixtures import HrTables
+from ..sources.fixtures import HrTables, tables_for
 from . import fixed_values as V
 from .dashboard import exec_dashboard
 
@@ -38,7 +38,9 @@ def register(key: str) -> Callable[[Builder], Builder]:
 
 
 def _t(spark: SparkSession, sf_dir: str) -> HrTables:
-    return HrTables(spark, sf_dir)
+    """The HR tables behind ``sf_dir``: a registered source (e.g. a CSV snapshot)
+    or the projection of the driver tables in that directory."""
+    return tables_for(spark, sf_dir)
 
 
 def left() -> Column:

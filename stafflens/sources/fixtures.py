@@ -237,3 +237,59 @@ class HrTables:
 
     def dim_employee_wide(self) -> DataFrame:
         return self._get("dim_employee_wide", lambda: dim_employee_wide(self.staging()))
+
+
+class HrFrames(HrTables):
+    """HR tables given directly (e.g. the source's own CSV snapshot).
+
+    Tables not given are empty with their declared schema, so every analysis
+    runs; the ones that need them return no rows.
+    """
+
+    def __init__(self, spark: SparkSession, staging_df: DataFrame, performance_df: DataFrame | None = None,
+                 retention_df: DataFrame | None = None):
+        from .schemas import PERFORMANCE_FACT, RETENTION_FACT
+        super().__init__(spark, f"frames:{id(staging_df)}", materialize=False)
+        self._staging = staging_df
+        self._performance = performance_df if performance_df is not None else spark.createDataFrame(
+            [], PERFORMANCE_FACT)
+        self._retention = retention_df if retention_df is not None else spark.createDataFrame([], RETENTION_FACT)
+
+    def staging(self) -> DataFrame:
+        return self._staging
+
+    def performance_fact(self) -> DataFrame:
+        return self._performance
+
+    def retention_fact(self) -> DataFrame:
+        return self._retention
+
+    def dim_employee_wide(self) -> DataFrame:
+        return dim_employee_wide(self._staging)
+
+
+_SOURCES: dict[str, HrTables] = {}
+
+
+def register_source(name: str, tables: HrTables) -> str:
+    """Make ``tables`` answer for the directory name ``name`` in every catalog key."""
+    _SOURCES[name] = tables
+    return name
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> HrTables:
+    """The registered source for ``sf_dir``, else the projection of the driver tables."""
+    return _SOURCES.get(sf_dir) or HrTables(spark, sf_dir)
+
+
+def register_csv_source(spark: SparkSession, staging_csv: str, performance: str | None = None,
+                        retention: str | None = None) -> str:
+    """Register a CSV staging snapshot (plus optional score / event CSVs) and
+    return the name to pass as ``sf_dir``."""
+    from .ingest import read_named_csv
+    from .schemas import PERFORMANCE_FACT, RETENTION_FACT, STAGING
+    frames = HrFrames(
+        spark, read_named_csv(spark, staging_csv, STAGING),
+        read_named_csv(spark, performance, PERFORMANCE_FACT) if performance else None,
+        read_named_csv(spark, retention, RETENTION_FACT) if retention else None)
+    return register_source(f"csv:{staging_csv}", frames)

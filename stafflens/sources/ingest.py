@@ -65,3 +65,14 @@ def profile(df: DataFrame, columns: list[str] | None = None, *, approx: bool = F
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).cast("bigint").alias("n_nulls"),
         F.count("value").cast("bigint").alias("n_distinct"),
     )
+
+
+def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header, columns matched to ``schema`` **by name** (any order,
+    extra columns ignored, absent nullable columns NULL, a leading byte-order
+    mark stripped), values cast to the declared types (a bad value fails the
+    job under ANSI mode)."""
+    from .sinks import conform
+    raw = spark.read.option("header", True).csv(path)
+    clean = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    return conform(clean, schema)

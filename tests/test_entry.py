@@ -37,3 +37,27 @@ def test_cli_list_and_run(spark, capsys, tmp_path):
     out = tmp_path / "q04"
     assert main(["run", "q04_rate_marital", "--sf", SF_SMALL, "--out", str(out)]) == 0
     assert spark.read.parquet(str(out)).count() == 3
+
+
+def test_csv_staging_source_runs_the_catalog(spark, tmp_path):
+    """A user's own HR snapshot as CSV: header matched by name (any order, extra
+    columns, a byte-order mark), all keys run, staging keys equal the built-in path."""
+    import csv
+    from conftest import SF_SMALL
+    from stafflens.plans.catalog import CATALOG
+    from stafflens.sources.fixtures import HrTables, register_csv_source
+    base = HrTables(spark, SF_SMALL).staging()
+    cols = list(reversed(base.columns)) + ["EmployeeCount"]
+    path = tmp_path / "hr.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(["\ufeff" + cols[0]] + cols[1:])
+        for r in base.collect():
+            d = r.asDict()
+            w.writerow([("" if d.get(c) is None else d[c]) if c in d else 1 for c in cols])
+    name = register_csv_source(spark, str(path))
+    for key in ("q04_rate_marital", "q49_dashboard", "q24_salary_percentiles", "q41_org_depth"):
+        a = sorted(map(tuple, CATALOG[key](spark, name).collect()))
+        b = sorted(map(tuple, CATALOG[key](spark, SF_SMALL).collect()))
+        assert a == b, key
+    assert CATALOG["q14_score_distribution"](spark, name).count() == 0  # no score history given
