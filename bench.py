@@ -26,6 +26,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    if not cpus.isdigit():  # "*" or empty: all cores
+        cpus = str(os.cpu_count() or 8)
     reps = int(os.environ.get("BENCH_REPS", "3"))
     from stafflens.plans.catalog import CATALOG
     from stafflens.session import local_session
