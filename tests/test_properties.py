@@ -174,3 +174,23 @@ def test_star_build_is_clean_and_complete(spark):
     filled = ["percent_salary_hike", "stock_option_level", "overtime", "business_travel", "distance_from_home"]
     fa = star.fact_attrition()
     assert fa.where(" OR ".join(f"{c} IS NULL" for c in filled)).count() == 0
+
+
+def test_rounding_rule_matches_duckdb_and_exact_decimal(spark):
+    """fround(x, 2) in Spark = the oracle's R(x, 2) in DuckDB = exact half-away-from-zero
+    rounding of the shortest decimal form of x, on values full of x.xx5 ties."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import duckdb
+    from stafflens.functions.numeric import fround
+    from stafflens.plans.oracle import R
+    rnd = random.Random(31)
+    xs = [k / 1000 for k in range(-20005, 20006, 5)] + [rnd.uniform(-1e4, 1e4) for _ in range(500)] + \
+         [100.0 * a / b for a, b in ((1, 8), (1, 16), (3, 32), (7, 40), (1, 3), (2, 3))]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(fround("x", 2)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(xs)))
+    duck = [r[0] for r in con.execute(f"SELECT {R('x', 2)} FROM t ORDER BY i").fetchall()]
+    exact = [float(Decimal(repr(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)) for x in xs]
+    assert got == duck == exact
