@@ -9,15 +9,28 @@ words); a document that is mixed in twice is packed twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stafflens.llm import mixing, packing, quality
+from stafflens.llm import mixing, neardup, packing, pii, quality
 from stafflens.llm.common import stored
 
+#: Key of the pseudonyms; an own corpus takes an own secret.
+PII_KEY = "stafflens-demo-key"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs, quality.PRODUCTION)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(docs, PII_KEY)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -28,6 +41,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]

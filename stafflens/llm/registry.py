@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stafflens.llm import mixing, packing, quality
+from stafflens.llm import mixing, neardup, packing, pii, quality
 from stafflens.llm.sql import SQL
 
+#: Key of the pseudonyms in these queries; an own corpus takes an own secret.
+PII_KEY = "stafflens-demo-key"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +19,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(documents, PII_KEY, counts=True)
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components_of_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(_table(spark, sf_dir, "documents"))
     return taken.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "copies")
@@ -26,5 +38,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "n_lines", "n_exclaims", "failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_pii, op7_minhash_near_dedup, op9_mixing, op10_quality_rules)}
 ORACLE = {k: SQL[k] for k in QUERIES if k in SQL}
