@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stafflens.llm import mixing, neardup, packing, pii, quality
+from stafflens.llm import langid, mixing, neardup, packing, pii, quality, topk, urls
 from stafflens.llm.sql import SQL
 
 #: Key of the pseudonyms in these queries; an own corpus takes an own secret.
@@ -19,15 +20,41 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+#: Rules of the url query; an own corpus passes its own list.
+URL_RULES = (
+    (urls.ALLOW, "org/"),
+    (urls.BLOCK, "example.org/es/"),
+    (urls.BLOCK, "example.org/en/1"),
+    (urls.ALLOW, "com/fr/"),
+    (urls.BLOCK, "com/de/"),
+)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.build_index(spark, URL_RULES))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(documents, PII_KEY, counts=True)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    rows = documents.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    profiles = langid.learn(rows.where("not held_out"))
+    return langid.identify(rows, profiles, keep=("doc_id", "held_out"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components_of_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(_table(spark, sf_dir, "documents"))
     return taken.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "copies")
@@ -38,5 +65,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "n_lines", "n_exclaims", "failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_pii, op7_minhash_near_dedup, op9_mixing, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_url_filters,
+        op3_pii,
+        op6_language_id,
+        op7_minhash_near_dedup,
+        op8_exact_top_k,
+        op9_mixing,
+        op10_quality_rules,
+    )
+}
 ORACLE = {k: SQL[k] for k in QUERIES if k in SQL}
