@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stafflens.llm import langid, mixing, neardup, packing, pii, quality, substrings, topk, urls
+from stafflens.llm import langid, mixing, neardup, packing, paragraphs, pii, quality, substrings, topk, urls
 from stafflens.llm.sql import SQL
 
 #: Key of the pseudonyms in these queries; an own corpus takes an own secret.
@@ -39,6 +39,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents, PII_KEY, counts=True)
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = substrings.repeated_spans(_table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -76,6 +80,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_url_filters,
         op3_pii,
+        op4_paragraph_dedup,
         op5_suffix_array_dedup,
         op6_language_id,
         op7_minhash_near_dedup,
