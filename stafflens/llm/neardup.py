@@ -210,7 +210,8 @@ def classes(df: DataFrame, carry: list[str], key: Column, text: str, percent: in
     families = components(pairs, f"{label}-family").select(F.col("node").alias("id"), F.col("root").alias("family"))
     families = stored(families, f"{label}-families")
 
-    members = stored(_sets(texts.withColumn("id", key).join(families, "id")), f"{label}-sets")
+    # The number of members grows with the corpus: this join is a shuffle of the texts at every size.
+    members = stored(_sets(texts.withColumn("id", key).join(families.hint("merge"), "id")), f"{label}-sets")
     sizes = stored(members.groupBy("family").agg(F.count("*").alias("members")), f"{label}-sizes")
     small = members.join(sizes.where(F.col("members") <= BLOCK), "family")
     small = small.select(F.col("family").cast("string").alias("key"), F.lit(0).alias("side"), "id", "shingles")
@@ -242,5 +243,5 @@ def components_of_documents(df: DataFrame, key: str = "doc_id", text: str = "tex
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``df`` that represent their component (the smallest id), columns unchanged."""
     dropped = components_of_documents(df, key, text, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = df.join(stored(dropped, "dropped"), df[key] == F.col("__dropped"), "left_anti")
+    kept = df.join(stored(dropped, "dropped").hint("merge"), df[key] == F.col("__dropped"), "left_anti")
     return kept
