@@ -360,7 +360,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     wanted = stored(wanted.groupBy("unit", "rep").agg(F.collect_set("h").alias("hashes")), "wanted")
 
     mine = F.unhex(F.md5(F.col("text").cast("binary")))
-    moved = texts.where("text is not null").withColumn("unit", mine).join(wanted.withColumnRenamed("unit", "w"), (F.col("unit") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    moved = texts.where("text is not null").withColumn("unit", mine).join(wanted.withColumnRenamed("unit", "w").hint("merge"), (F.col("unit") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     moved = stored(moved.select("unit", "text", "hashes"), "moved")
     segments = stored(_segments(moved, length), "cut")
     # Offsets of an anchor in a window run to length - gram; each cut leaves parts of an eighth, at last single windows.
