@@ -1,86 +1,83 @@
 """Depth of every node in a manager tree.
 
-Breadth-first frontier loop, the distributed form of a recursive CTE:
-level 1 = rows without a parent; level d+1 = rows whose parent is in level d.
-Each round is one equi-join of the edge table with the (small or large)
-frontier on the parent key, so the work per round is a shuffle join and the
-number of rounds is the tree depth. Rows never reached from a root (cycles,
-orphans) are not returned, as in SQL.
+Pointer doubling: each row holds an ancestor and the number of levels up to it.
+A round looks every unfinished row's ancestor up in the same table and adds the
+two distances, so after k rounds all rows of the first 2^k levels are finished:
+a chain of a thousand levels takes ten rounds, and a round is one equi-join,
+whatever the depth. There is no limit on the depth.
 
-The loop needs one action per round: the checkpoint of the new level, whose
-row count is observed in the same job (it decides the join strategy of the
-next round and the stop).
-Lineage is cut
-with a reliable checkpoint every ``checkpoint_every`` rounds (default: every
-round), so each level is computed once — the emptiness test and the final
-union read the stored level — and no round replays the chain after an
-executor loss. ``max_depth`` stops
-a runaway loop and raises: with one parent per row a tree cannot loop, but
-duplicate ids can make a cycle reachable.
+The rounds end when one finishes no further row: any reachable row left over
+would have an ancestor that the round had finished. What is left then hangs on
+a cycle and is not returned, as in SQL; rows under a missing parent leave in the
+round that misses it. Ids must be unique (one aggregate checks it), because a
+repeated id can close a cycle that is reachable from a root; repeated ids are
+reported, not guessed at.
+
+Each round's table is written with a reliable checkpoint, so no round replays an
+earlier one after an executor loss. Both sides of the join are plain shuffles of
+that table, so the adaptive planner can split a manager with very many reports.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-FRONTIER_BROADCAST_MAX_ROWS = 2_000_000
-
 from ..session import ensure_checkpoint_dir
 
 
+class DuplicateNodes(ValueError):
+    """Some node ids occur in more than one row."""
+
+
+def _checkpointed(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
+    """The frame checkpointed, and aggregates of it observed in the same job."""
+    obs = Observation()
+    out = df.observe(obs, *[m.alias(name) for name, m in measures.items()]).checkpoint(eager=True)
+    return out, obs.get
+
+
 def hierarchy_depth(
     nodes: DataFrame,
     *,
     node: str = "employee_id",
     parent: str = "manager_id",
     depth_name: str = "depth",
-    max_depth: int = 100,
-    checkpoint_every: int = 1,
     materialize_input: bool = True,
-    broadcast_max_rows: int = FRONTIER_BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Every row reachable from a root, with its depth (roots = 1).
 
-    ``materialize_input`` checkpoints ``nodes`` once, so a derived node table
-    is not recomputed in every round; turn it off for a stored table.
+    ``materialize_input`` checkpoints ``nodes`` once, so a derived node table is
+    not computed again for the result; turn it off for a stored table. Raises
+    ``DuplicateNodes`` if an id has several rows. A row without id is nobody's
+    parent and gets its own depth.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     if materialize_input:
         nodes = nodes.checkpoint(eager=True)
-    def stored_level(level: DataFrame, store: bool) -> tuple[DataFrame, int]:
-        """The level (checkpointed when ``store``) and its row count; the count is
-        observed during the checkpoint job instead of a second job."""
-        if not store:
-            return level, level.count()
-        obs = Observation()
-        level = level.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-        return level, obs.get["n"]
+    edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_up")).where(F.col("_n").isNotNull())
+    repeated = edges.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).limit(3).collect()
+    if repeated:
+        raise DuplicateNodes(f"{node}: {', '.join(repr(r[0]) for r in repeated)} have several rows")
 
-    frontier, size = stored_level(nodes.where(F.col(parent).isNull()).withColumn(depth_name, F.lit(1)),
-                                  checkpoint_every == 1)
-    levels = [frontier]
-    depth = 1
-    # Children are looked up by parent key; rows without a parent never match.
-    edges = nodes.where(F.col(parent).isNotNull())
-    while size > 0:
-        # Multiplicity is kept (UNION ALL semantics): a duplicated id in the
-        # frontier yields its children twice, as the recursive query would.
-        keys = frontier.select(F.col(node).alias("_p"))
-        # A level proven small (counted on its stored copy) is broadcast, so a
-        # manager with millions of reports is not one hot sort-merge partition;
-        # a large level is a shuffle join (AQE splits skewed partitions).
-        if size <= broadcast_max_rows:
-            keys = F.broadcast(keys)
-        nxt = edges.join(keys, edges[parent] == keys["_p"], "inner").drop("_p")
-        depth += 1
-        nxt, size = stored_level(nxt.withColumn(depth_name, F.lit(depth)), depth % checkpoint_every == 0)
-        if size == 0:
+    root = F.col("_up").isNull()
+    state = edges.select("_n", "_up", F.lit(1).cast("bigint").alias("_steps"), root.alias("_done"))
+    open_rows = {"left": F.count_if(~F.col("_done"))}
+    state, seen = _checkpointed(state, **open_rows)
+    while seen["left"]:
+        above = state.select(F.col("_n").alias("_a"), F.col("_up").alias("_a_up"), F.col("_steps").alias("_a_steps"),
+                             F.col("_done").alias("_a_done"))
+        moved = state.where(~F.col("_done")).join(above, F.col("_up") == F.col("_a")).select(
+            "_n", F.col("_a_up").alias("_up"), (F.col("_steps") + F.col("_a_steps")).alias("_steps"),
+            F.col("_a_done").alias("_done"), F.col("_a_done").alias("_new"))
+        finished = state.where("_done").withColumn("_new", F.lit(False))
+        state, now = _checkpointed(finished.unionByName(moved), new=F.count_if("_new"), **open_rows)
+        state = state.drop("_new")
+        # A round that drops rows under a missing parent may finish none and still change the rest.
+        if not now["new"] and now["left"] == seen["left"]:
             break
-        if depth > max_depth:
-            raise RuntimeError(f"hierarchy deeper than {max_depth} levels: cycle or runaway recursion")
-        levels.append(nxt)
-        frontier = nxt
-    return reduce(lambda a, b: a.unionByName(b), levels)
+        seen = now
+    depths = state.where("_done").select(F.col("_n").alias("_p"), F.col("_steps").alias("_d"))
+    out = nodes.join(depths, nodes[parent] == F.col("_p"), "left")
+    depth = F.when(nodes[parent].isNull(), F.lit(1)).otherwise(F.col("_d") + 1)
+    return out.withColumn(depth_name, depth.cast("int")).where(F.col(depth_name).isNotNull()).drop("_p", "_d")

@@ -9,7 +9,8 @@ corrupt-record column), never dropped silently.
 values in one job: the table is unpivoted to (column, value) pairs, reduced
 to distinct pairs with partial aggregation, then counted per column. The
 shuffle carries distinct values, not rows; for an approximate and cheaper
-width, ``approx=True`` uses HyperLogLog per column in one aggregate.
+width, ``approx=True`` uses HyperLogLog per column, all in one aggregate over
+one scan.
 """
 
 from __future__ import annotations
@@ -29,34 +30,67 @@ class Ingested:
     quarantine: DataFrame | None
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the file's first line, without a byte-order mark and blanks around names."""
+    first = spark.read.option("header", False).csv(path).first()
+    return [(c or "").lstrip("\ufeff").strip() for c in first or ()]
+
+
 def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, *, mode: str = "FAILFAST",
                header: bool = True) -> Ingested:
-    """Typed CSV read. ``mode`` is FAILFAST or PERMISSIVE (bad rows → quarantine)."""
-    reader = spark.read.option("header", header).option("mode", mode)
-    if mode == "FAILFAST":
-        return Ingested(reader.schema(schema).csv(path), None)
-    if mode != "PERMISSIVE":
+    """Typed CSV read. ``mode`` is FAILFAST or PERMISSIVE (bad rows → quarantine).
+
+    With a header, columns are bound to ``schema`` **by name**: any order, a
+    leading byte-order mark stripped, extra columns ignored, absent nullable
+    columns NULL, an absent required column an error. The files are read with
+    the declared types in the header's order, so a bad value is found by the
+    parser and either fails the job or goes to the quarantine with its line.
+    """
+    if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError("mode must be FAILFAST or PERMISSIVE")
-    wide = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+    from .sinks import conform
+    declared = {f.name: f for f in schema.fields}
+    names = _header(spark, path) if header else [f.name for f in schema.fields]
+    repeated = {n for n in names if names.count(n) > 1 and n in declared}
+    if repeated:
+        raise ValueError(f"columns {sorted(repeated)} occur more than once in the header")
+    file_schema = T.StructType([T.StructField(n, declared[n].dataType if n in declared else T.StringType(), True)
+                                for n in _distinct(names)])
+    # Names are bound here; the parser must not compare the header with them (it may hold a byte-order mark).
+    reader = spark.read.option("header", header).option("enforceSchema", True).option("mode", mode)
+    if mode == "FAILFAST":
+        return Ingested(conform(reader.schema(file_schema).csv(path), schema), None)
+    wide = T.StructType(list(file_schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     raw = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good = conform(raw.where(F.col(CORRUPT).isNull()), schema)
     # The quarantine keeps the parsed fields next to the raw line (Spark refuses
     # a query that reads only the corrupt-record column of a raw file).
     bad = raw.where(F.col(CORRUPT).isNotNull())
     return Ingested(good, bad)
 
 
+def _distinct(names: list[str]) -> list[str]:
+    """The header with repeated (undeclared) or empty names made distinct by position."""
+    seen: set[str] = set()
+    out = []
+    for i, n in enumerate(names):
+        n = n if n and n not in seen else f"_c{i}"
+        seen.add(n)
+        out.append(n)
+    return out
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, *, approx: bool = False) -> DataFrame:
     """One row per column: column_name, n_rows, n_nulls, n_distinct."""
     cols = columns or df.columns
     if approx:
-        parts = [df.agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"),
-                        F.count_if(F.col(c).isNull()).alias("n_nulls"),
-                        F.approx_count_distinct(c).alias("n_distinct")) for c in cols]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        one = df.agg(F.count(F.lit(1)).alias("_n"),
+                     *[F.count_if(F.col(c).isNull()).alias(f"_u{i}") for i, c in enumerate(cols)],
+                     *[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_n").alias("n_rows"),
+                                  F.col(f"_u{i}").alias("n_nulls"), F.col(f"_d{i}").alias("n_distinct"))
+                         for i, c in enumerate(cols)])
+        return one.select(F.inline(rows))
     long = (df.select([F.col(c).cast("string").alias(c) for c in cols])
             .unpivot([], cols, "column_name", "value"))
     per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
@@ -68,11 +102,5 @@ def profile(df: DataFrame, columns: list[str] | None = None, *, approx: bool = F
 
 
 def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, columns matched to ``schema`` **by name** (any order,
-    extra columns ignored, absent nullable columns NULL, a leading byte-order
-    mark stripped), values cast to the declared types (a bad value fails the
-    job under ANSI mode)."""
-    from .sinks import conform
-    raw = spark.read.option("header", True).csv(path)
-    clean = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    return conform(clean, schema)
+    """The rows of ``ingest_csv``; a bad value fails the job."""
+    return ingest_csv(spark, path, schema).rows

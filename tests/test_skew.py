@@ -66,7 +66,7 @@ def test_hierarchy_hot_manager(spark):
     # Node 1 manages a third of the tree directly; the rest is a chain of depth up to 4.
     edges = [(1, None)] + [(i, 1) for i in range(2, 400)] + [(i, i - 398) for i in range(400, 1200)]
     df = spark.createDataFrame(edges, "employee_id long, manager_id long")
-    got = {r.employee_id: r.depth for r in hierarchy.hierarchy_depth(df, broadcast_max_rows=0).collect()}
+    got = {r.employee_id: r.depth for r in hierarchy.hierarchy_depth(df).collect()}
     parent = dict(edges)
     def depth(x):
         d = 1

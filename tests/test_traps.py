@@ -122,10 +122,24 @@ def test_t_cycle_unreachable_nodes_dropped(spark):
     assert out == {1: 1, 2: 2, 3: 3}
 
 
-def test_t_cycle_reachable_through_duplicate_ids_raises(spark):
+def test_t_cycle_reachable_through_duplicate_ids_is_reported(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (1, 2)], "employee_id long, manager_id long")
-    with pytest.raises(RuntimeError):
-        hierarchy.hierarchy_depth(nodes, max_depth=6).collect()
+    with pytest.raises(hierarchy.DuplicateNodes, match="employee_id: 1 "):
+        hierarchy.hierarchy_depth(nodes)
+
+
+@pytest.mark.parametrize("levels", [101, 1000])
+def test_deep_chain_has_no_limit(spark, levels):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(levels)], "employee_id long, manager_id long")
+    out = {r.employee_id: r.depth for r in hierarchy.hierarchy_depth(nodes).collect()}
+    assert out == {i: i + 1 for i in range(levels)}
+
+
+def test_orphans_cycles_and_rows_without_id(spark):
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 99), (4, 3), (5, 6), (6, 5), (7, 6), (None, 2)],
+                                  "employee_id long, manager_id long")
+    out = {(r.employee_id, r.depth) for r in hierarchy.hierarchy_depth(nodes).collect()}
+    assert out == {(1, 1), (2, 2), (None, 3)}
 
 
 def test_t_orphan_constraint_report(spark):
