@@ -4,6 +4,7 @@
     python -m stafflens run q49_dashboard [--sf DIR] [--show N] [--out PATH]
     python -m stafflens run-all [--sf DIR]
     python -m stafflens load --out PATH [--sf DIR]
+    python -m stafflens run q12_flight_risk --as-of 2024-01-01
     python -m stafflens run q04_rate_marital --staging-csv HR.csv [--scores-csv S.csv] [--events-csv E.csv]
 
 ``--show`` prints the first N result rows (display only); ``--out`` writes the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from datetime import date
 
 from .plans.catalog import CATALOG
 
@@ -46,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--out", required=True)
     for p in (run, run_all, load):
         p.add_argument("--cores", default="*")
+        p.add_argument("--as-of", type=date.fromisoformat, help="the date analyses look back from (YYYY-MM-DD)")
         p.add_argument("--staging-csv", help="the HR snapshot as CSV (header names as the staging schema)")
         p.add_argument("--scores-csv", help="optional score history CSV (employee_id, date_key, performance_score)")
         p.add_argument("--events-csv", help="optional event CSV (employee_id, event_date, event_type)")
@@ -60,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         from .sources.fixtures import register_csv_source
         args.sf = register_csv_source(spark, args.staging_csv, args.scores_csv, args.events_csv)
     if args.cmd == "run":
-        df = CATALOG[args.key](spark, args.sf)
+        df = CATALOG[args.key](spark, args.sf, as_of=args.as_of)
         if args.out:
             df.write.mode("overwrite").parquet(args.out)
         else:
@@ -68,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.cmd == "run-all":
         for key, build in CATALOG.items():
             t0 = time.perf_counter()
-            n = build(spark, args.sf).count()
+            n = build(spark, args.sf, as_of=args.as_of).count()
             print(f"{key:32s} {n:>10d} rows {time.perf_counter() - t0:7.2f} s")
     elif args.cmd == "load":
         from .plans.star import Star

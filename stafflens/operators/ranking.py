@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import salted_join
+from .joins import join_group_stats
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -101,8 +101,9 @@ def rank_within(df: DataFrame, part: str, score: str, *, rank_name: str = "rank"
     (a window over the histogram, whose size is the number of distinct scores
     per partition, not the rows). Rows get their rank and mean by an equi-join
     with the histogram (NULL-safe on both keys); with ``salt_from`` (row id
-    columns) the join is salted, so a (part, score) pair holding a third of the
-    rows is spread over several tasks.
+    columns) the histogram is stored, counted and broadcast while small, else
+    joined with a salt, so a (part, score) pair holding a third of the rows is
+    never one task.
     """
     hist = df.groupBy(part, score).agg(F.count(F.lit(1)).alias("_cnt"))
     better = (Window.partitionBy(part).orderBy(F.col(score).desc_nulls_first())
@@ -116,7 +117,7 @@ def rank_within(df: DataFrame, part: str, score: str, *, rank_name: str = "rank"
          / F.sum(scored).over(whole)).alias(mean_name),
     )
     if salt_from:
-        out = salted_join(df, hist, [(F.col(part), "_h_part"), (F.col(score), "_h_score")],
+        out = join_group_stats(df, hist, [(F.col(part), "_h_part"), (F.col(score), "_h_score")],
                           salt_from=salt_from, null_safe=True)
         return out.drop("_h_part", "_h_score")
     cond = F.col(part).eqNullSafe(F.col("_h_part")) & F.col(score).eqNullSafe(F.col("_h_score"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ColumnLike, as_double, col, count_rows, count_where, fround, pct, safe_div
-from .joins import salted_join
+from .joins import join_group_stats
 
 Cols = Sequence[str | Column]
 
@@ -176,16 +176,15 @@ def vs_group_median(df: DataFrame, by: Sequence[str], x: str, *, median_name: st
                     exact: bool = True, salt_from: Sequence[str] | None = None) -> DataFrame:
     """Every row with its group's median joined back (``median_name``, unrounded).
 
-    The medians are one row per group; AQE broadcasts them when the measured
-    size is small. With ``salt_from`` (row id columns) the join is salted, so a
-    group holding a third of the rows is spread over several tasks even as a
-    shuffle join. Rows with a NULL key have no group and are dropped, as an
+    The medians are one row per group. With ``salt_from`` (row id columns) they
+    are stored, counted and broadcast while few, else joined with a salt, so a
+    group holding a third of the rows is never one task. Rows with a NULL key have no group and are dropped, as an
     inner join does.
     """
     med = group_median(df, by, x, median_name, exact)
     if salt_from:
         med = med.select(*[F.col(c).alias(f"_m_{c}") for c in by], median_name)
-        out = salted_join(df, med, [(F.col(c), f"_m_{c}") for c in by], salt_from=salt_from)
+        out = join_group_stats(df, med, [(F.col(c), f"_m_{c}") for c in by], salt_from=salt_from)
         # Same column order as the plain ``join(on=by)``: keys first.
         return out.select(*by, *[c for c in df.columns if c not in by], median_name)
     return df.join(med, list(by), "inner")
@@ -203,15 +202,25 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 # --- W27 -----------------------------------------------------------------------------------------
 def correlation(df: DataFrame, x: ColumnLike, y: Column, *, by: Cols = (), name: str = "corr",
-                digits: int | None = 4) -> DataFrame:
+                digits: int | None = 4, own_rows: bool = False) -> DataFrame:
     """Population Pearson r of ``x`` and ``y``, one pass, optionally per group.
 
-    Rows where either side is NULL are dropped first. r = covar_pop /
+    Rows where either side is NULL are dropped first; with ``own_rows`` each
+    mean and deviation is taken over all rows where its own variable is not
+    NULL, as the formula written out in SQL does. r = covar_pop /
     (stddev_pop(x) · stddev_pop(y)), NULL when either variance is zero (the
     built-in ``corr`` would raise under ANSI mode).
     """
     xx, yy = as_double(x), as_double(y)
-    pairs = df.select(*by, xx.alias("_x"), yy.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    r = F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))
+    pairs = df.select(*by, xx.alias("_x"), yy.alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    covariance = F.covar_pop("_x", "_y")
+    if own_rows:
+        # Mean of (x - mean x)(y - mean y) over the pairs, the means over each variable's own rows.
+        covariance = covariance + ((F.avg(F.when(both, F.col("_x"))) - F.avg("_x"))
+                                   * (F.avg(F.when(both, F.col("_y"))) - F.avg("_y")))
+    else:
+        pairs = pairs.where(both)
+    r = covariance / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))
     r = r if digits is None else fround(r, digits)
     return pairs.groupBy(*by).agg(r.alias(name)) if by else pairs.agg(r.alias(name))

@@ -154,28 +154,18 @@ def _scalar_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame
         F.lit(table).alias("table_name"), "rule", "column_name", F.col("violations").cast("bigint"))
 
 
-def _unique_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
-    """UNIQUE rules of one table in one shuffle: (column, value) pairs counted,
-    rows of repeated non-NULL values summed per column, one row per rule."""
-    cols = [r.column for r in rules]
-    long = (df.select([F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot([], cols, "column_name", "value")
-            .where(F.col("value").isNotNull()))
-    per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = F.col("_n") > 1
-    one = per_value.agg(*[F.coalesce(F.sum(F.when((F.col("column_name") == c) & repeated, F.col("_n"))), F.lit(0))
-                          .alias(f"_v{i}") for i, c in enumerate(cols)])
-    stacked = ", ".join(f"'{c}', _v{i}" for i, c in enumerate(cols))
-    return one.selectExpr(f"stack({len(cols)}, {stacked}) AS (column_name, violations)").select(
-        F.lit(table).alias("table_name"), F.lit("unique").alias("rule"), "column_name",
-        F.col("violations").cast("bigint").alias("violations"))
+def _unique_rule(df: DataFrame, r: Rule) -> DataFrame:
+    """UNIQUE rule of one column, counted in the column's own type: rows of repeated non-NULL values."""
+    per_value = df.where(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = F.sum(F.when(F.col("_n") > 1, F.col("_n")))
+    return _report(r.table, r.kind, r.column, per_value.agg(F.coalesce(repeated, F.lit(0)).alias("violations")))
 
 
 def _reference_rule(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
     """FOREIGN KEY (non-NULL values without a referenced row) or lookup miss (any row
-    without a match, NULL included): an anti-join against the distinct referenced keys."""
+    without a match, NULL included): an anti-join against the referenced keys."""
     df = tables[r.table]
-    ref = tables[r.ref_table].select(F.col(r.ref_column).alias("_ref")).distinct()
+    ref = tables[r.ref_table].select(F.col(r.ref_column).alias("_ref"))
     probe = df.where(F.col(r.column).isNotNull()) if r.kind == "foreign_key" else df
     miss = probe.join(ref, probe[r.column] == ref["_ref"], "left_anti")
     return _report(r.table, r.kind, r.column, miss.agg(F.count(F.lit(1)).alias("violations")))
@@ -184,8 +174,8 @@ def _reference_rule(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
 def check_constraints(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
     """One row per rule with its violation count (0 = rule holds).
 
-    Per table, all NOT NULL / length rules share one aggregate pass and all
-    UNIQUE rules share one shuffle; each reference rule is one anti-join.
+    Per table, all NOT NULL / length rules share one aggregate pass; each
+    UNIQUE rule is one aggregate and each reference rule one anti-join.
     Everything is one Spark job (a union of the branches).
     """
     parts: list[DataFrame] = []
@@ -196,11 +186,9 @@ def check_constraints(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> Da
         by_table.setdefault(r.table, []).append(r)
     for table, rs in by_table.items():
         scalar = [r for r in rs if r.kind in ("not_null", "max_length")]
-        unique = [r for r in rs if r.kind == "unique"]
         if scalar:
             parts.append(_scalar_rules(tables[table], table, scalar))
-        if unique:
-            parts.append(_unique_rules(tables[table], table, unique))
+        parts.extend(_unique_rule(tables[table], r) for r in rs if r.kind == "unique")
         parts.extend(_reference_rule(tables, r) for r in rs if r.kind in ("foreign_key", "lookup_miss"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -2,16 +2,17 @@
 
 Each builder reads the driver tables through the HR projection and calls the
 operators. Output column names and types are fixed per key (counts BIGINT,
-rates and means DOUBLE, ranks and tiles INT, dates DATE). Group-level results
-carry their presentation order (a sort of a handful of rows); row-level
-results are returned unsorted — ordering millions of rows is a sink concern,
-and the row set is what the analysis defines.
+rates and means DOUBLE, ranks and tiles INT, dates DATE). Every result carries
+its presentation order, in row-level results with the employee as the last key,
+so that ties have one order; a sort of many rows is range-partitioned.
 """
 
 from __future__ import annotations
 
 import calendar
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,28 @@ from .dashboard import exec_dashboard
 Builder = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Builder] = {}
 
-AS_OF: date = V.AS_OF
+_AS_OF: ContextVar[date] = ContextVar("as_of", default=V.AS_OF)
+
+
+def as_of() -> date:
+    """The date the analysis being built looks back from (the source's ``CURRENT_DATE``)."""
+    return _AS_OF.get()
 
 
 def register(key: str) -> Callable[[Builder], Builder]:
+    """Add a builder; every key takes ``as_of`` (default: the fixture data's date)."""
     def deco(fn: Builder) -> Builder:
-        CATALOG[key] = fn
-        return fn
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str, as_of: date | None = None) -> DataFrame:
+            if as_of is None:
+                return fn(spark, sf_dir)
+            token = _AS_OF.set(as_of)
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                _AS_OF.reset(token)
+        CATALOG[key] = build
+        return build
     return deco
 
 
@@ -66,7 +82,7 @@ def q01(spark, sf_dir):
 @register("q02_cohort_retention")
 def q02(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return trends.cohort_retention(t.dim_employee_wide(), t.retention_fact(), as_of=AS_OF,
+    return trends.cohort_retention(t.dim_employee_wide(), t.retention_fact(), as_of=as_of(),
                                    event_type=V.EXIT_EVENT).orderBy("hire_year")
 
 
@@ -142,7 +158,7 @@ def _flight_risk_base(t: HrTables) -> DataFrame:
     stg = t.staging().select("EmployeeNumber", "YearsAtCompany", "OverTime", "JobSatisfaction", "MonthlyIncome")
     de = t.dim_employee_wide().select("employee_id", "department", "role")
     base = de.join(stg, de.employee_id == stg.EmployeeNumber, "inner").drop("EmployeeNumber")
-    snap = scoring.asof_snapshot(base, t.performance_fact(), left_key="employee_id", as_of=AS_OF)
+    snap = scoring.asof_snapshot(base, t.performance_fact(), left_key="employee_id", as_of=as_of())
     return snap
 
 
@@ -157,12 +173,13 @@ def q12(spark, sf_dir):
     ])
     out = snap.select("employee_id", "department", "role", "YearsAtCompany", "performance_score", "OverTime",
                       "JobSatisfaction", "MonthlyIncome", risk.alias("risk_score"))
-    return out.withColumn("risk_segment", tier("risk_score", V.RISK_TIERS, V.RISK_TIER_ELSE))
+    out = out.withColumn("risk_segment", tier("risk_score", V.RISK_TIERS, V.RISK_TIER_ELSE))
+    return out.orderBy(F.col("risk_score").desc_nulls_first(), F.col("employee_id").asc())
 
 
 # =============================================================== B: performance
 def _snapshot_scores(t: HrTables) -> DataFrame:
-    return t.performance_fact().where(F.col("date_key") == F.lit(AS_OF))
+    return t.performance_fact().where(F.col("date_key") == F.lit(as_of()))
 
 
 @register("q13_rank_in_role")
@@ -177,7 +194,7 @@ def q13(spark, sf_dir):
         "employee_id", "department", "role", "performance_score", "role_rank",
         rounded.cast("double").alias("role_avg_score"),
         (F.col("performance_score").cast("decimal(28,10)") - rounded).cast("double").alias("vs_role_avg"),
-    )
+    ).orderBy(F.col("role").asc_nulls_last(), F.col("role_rank").asc(), F.col("employee_id").asc())
 
 
 @register("q14_score_distribution")
@@ -200,7 +217,7 @@ def q15(spark, sf_dir):
                                   "employee_id", "inner")
     agg = stats.group_profile(rows, ["department", "role"], [
         ("_mean", stats.mm_mean()),
-        ("employee_count", stats.m_count_distinct("employee_id")),
+        ("employee_count", stats.m_count()),
     ])
     gap = stats.vs_parent_mean(agg, "_mean", ["department"])
     out = agg.select(
@@ -213,8 +230,9 @@ def q15(spark, sf_dir):
 
 @register("q16_score_delta")
 def q16(spark, sf_dir):
-    return trends.lag_trend(_t(spark, sf_dir).performance_fact(), since=_add_months(AS_OF, -24),
-                            labels=(V.TREND_DECLINING, V.TREND_IMPROVING, V.TREND_STABLE))
+    return trends.lag_trend(_t(spark, sf_dir).performance_fact(), since=_add_months(as_of(), -24),
+                            labels=(V.TREND_DECLINING, V.TREND_IMPROVING, V.TREND_STABLE)
+                            ).orderBy(F.col("employee_id").asc_nulls_last(), F.col("date_key").asc_nulls_last())
 
 
 @register("q17_decile_extremes")
@@ -229,7 +247,8 @@ def q17(spark, sf_dir):
     tiles = ranking.global_ntile(rows, order, V.DECILES, "decile")
     band_ = (F.when(F.col("decile") == 1, V.DECILE_TOP).when(F.col("decile") == V.DECILES, V.DECILE_BOTTOM)
              .otherwise(V.DECILE_MID))
-    return tiles.where(F.col("decile").isin(1, V.DECILES)).withColumn("performance_band", band_)
+    out = tiles.where(F.col("decile").isin(1, V.DECILES)).withColumn("performance_band", band_)
+    return out.orderBy(F.col("decile").asc(), F.col("performance_score").desc_nulls_first(), F.col("employee_id").asc())
 
 
 @register("q18_score_by_tenure")
@@ -238,7 +257,7 @@ def q18(spark, sf_dir):
         "tenure_bucket", band("YearsAtCompany", V.TENURE_BANDS, V.TENURE_ELSE))
     out = stats.group_profile(rows, ["tenure_bucket"], [
         ("avg_performance_score", stats.mm_mean(2)),
-        ("employee_count", stats.m_count_distinct("employee_id")),
+        ("employee_count", stats.m_count()),
         ("score_stddev", stats.mm_sd(3)),
     ])
     return out.orderBy("tenure_bucket")
@@ -293,7 +312,7 @@ def q22(spark, sf_dir):
         F.when(change <= -2, V.DECLINE_SIGNIFICANT).when(change == -1, V.DECLINE_MILD)
         .otherwise(V.DECLINE_OTHER).alias("decline_severity"),
     )
-    return out.distinct()
+    return out.orderBy(F.col("score_change").asc_nulls_last(), F.col("employee_id").asc())
 
 
 # =============================================================== C: compensation & equity
@@ -366,7 +385,7 @@ def q28(spark, sf_dir):
         fround(med, 0).alias("dept_median"), fround(x - med, 0).alias("diff_from_median"),
         F.when(x < med, V.BELOW_MEDIAN).otherwise(V.AT_OR_ABOVE).alias("pay_status"),
         F.col("Attrition").alias("already_left"),
-    )
+    ).orderBy(F.col("diff_from_median").asc_nulls_last(), F.col("EmployeeNumber").asc())
 
 
 @register("q29_stock_by_dept")
@@ -475,22 +494,24 @@ def _attrition_indicator() -> Column:
 @register("q39_corr_distance")
 def q39(spark, sf_dir):
     r = stats.correlation(_t(spark, sf_dir).staging(), "DistanceFromHome", _attrition_indicator(),
-                          name="corr_distance_vs_attrition")
+                          name="corr_distance_vs_attrition", own_rows=True)
     return r.withColumn("interpretation", F.lit(V.CORR_DISTANCE_TEXT))
 
 
 @register("q40_corr_income")
 def q40(spark, sf_dir):
     r = stats.correlation(_t(spark, sf_dir).staging(), "MonthlyIncome", _attrition_indicator(),
-                          name="corr_income_vs_attrition")
+                          name="corr_income_vs_attrition", own_rows=True)
     return r.withColumn("interpretation", F.lit(V.CORR_INCOME_TEXT))
 
 
 @register("q41_org_depth")
 def q41(spark, sf_dir):
-    nodes = _t(spark, sf_dir).dim_employee_wide().select("employee_id", "manager_id", "role", "department")
-    out = hierarchy.hierarchy_depth(nodes, materialize_input=False)  # staging is already stored
-    return out.select("employee_id", "role", "department", F.col("depth").cast("int").alias("depth"))
+    t = _t(spark, sf_dir)
+    nodes = t.dim_employee_wide().select("employee_id", "manager_id", "role", "department")
+    out = hierarchy.hierarchy_depth(nodes, materialize_input=not t.materialize)
+    return out.select("employee_id", "role", "department", F.col("depth").cast("int").alias("depth")).orderBy(
+        F.col("depth").asc(), F.col("employee_id").asc_nulls_last())
 
 
 @register("q42_promotion_lag")
@@ -505,7 +526,9 @@ def q42(spark, sf_dir):
         "EmployeeNumber", "Department", "JobRole", "JobLevel", "YearsAtCompany", "YearsSinceLastPromotion",
         "PerformanceRating",
         scoring.ratio_status("YearsSinceLastPromotion", "YearsAtCompany", 2).alias("promotion_lag_ratio"),
-        status.alias("promotion_status"))
+        status.alias("promotion_status")).orderBy(
+            F.col("YearsSinceLastPromotion").desc_nulls_first(), F.col("PerformanceRating").desc_nulls_first(),
+            F.col("EmployeeNumber").asc())
 
 
 @register("q43_rate_environment")
@@ -544,7 +567,8 @@ def q45(spark, sf_dir):
     ).select(
         "*",
         fround(engagement.cast("double") / float(V.ENGAGEMENT_MAX) * 100.0, 1).alias("engagement_pct"),
-        tier(engagement, V.ENGAGEMENT_BANDS, V.ENGAGEMENT_ELSE).alias("engagement_band"))
+        tier(engagement, V.ENGAGEMENT_BANDS, V.ENGAGEMENT_ELSE).alias("engagement_band")).orderBy(
+            F.col("engagement_index").asc_nulls_last(), F.col("EmployeeNumber").asc())
 
 
 @register("q46_engagement_by_dept")
@@ -559,7 +583,7 @@ def q46(spark, sf_dir):
 @register("q47_hire_timeline")
 def q47(spark, sf_dir):
     return trends.timeline_from_tenure(_t(spark, sf_dir).staging(), years="YearsAtCompany",
-                                       as_of=AS_OF).orderBy("hire_year")
+                                       as_of=as_of()).orderBy("hire_year")
 
 
 @register("q48_job_hopping")
@@ -583,7 +607,7 @@ def q50(spark, sf_dir):
     stg = t.staging().select("EmployeeNumber", "Department", "JobRole", "Attrition", "MonthlyIncome",
                              "YearsAtCompany", "OverTime", "JobSatisfaction", "StockOptionLevel", "WorkLifeBalance",
                              "EnvironmentSatisfaction", "NumCompaniesWorked")
-    snap = scoring.asof_snapshot(stg, t.performance_fact(), left_key="EmployeeNumber", as_of=AS_OF)
+    snap = scoring.asof_snapshot(stg, t.performance_fact(), left_key="EmployeeNumber", as_of=as_of())
     proxy = F.round(scoring.weighted(V.PROXY_FEATURES), 3)
     scored = snap.select("EmployeeNumber", "Department", "JobRole", F.col("Attrition").alias("actual_attrition"),
                          "MonthlyIncome", "YearsAtCompany", proxy.alias("_p"))
@@ -596,7 +620,8 @@ def q50(spark, sf_dir):
         .otherwise(V.PROXY_LOW_LABEL).alias("predicted_risk_level"),
         scoring.confusion_cell(positive, F.col("actual_attrition"), V.YES, V.NO,
                                (V.TRUE_POSITIVE, V.FALSE_POSITIVE, V.FALSE_NEGATIVE, V.TRUE_NEGATIVE))
-        .alias("model_accuracy_check"))
+        .alias("model_accuracy_check")).orderBy(
+            F.col("attrition_prob_proxy").desc_nulls_first(), F.col("EmployeeNumber").asc())
 
 
 @register("qb_confusion")
@@ -624,15 +649,16 @@ def _star(spark, sf_dir):
 
 @register("load_staging")
 def load_staging(spark, sf_dir):
-    """W02 + W01: the staging table written as CSV (declared schema) and read back typed."""
-    import uuid
+    """W02 + W01: the staging table written as CSV (declared schema) and read back typed.
 
-    from ..session import ensure_checkpoint_dir
+    The copy is written once per state of the source and read by later calls.
+    """
+    from ..sources.fixtures import stored_path
     from ..sources.ingest import ingest_csv
     from ..sources.schemas import STAGING
     from ..sources.sinks import write_table
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging_csv_{uuid.uuid4().hex}"
-    write_table(_t(spark, sf_dir).staging(), path, schema=STAGING, fmt="csv")
+    t = _t(spark, sf_dir)
+    path = stored_path(t, "staging_csv", lambda p: write_table(t.staging(), p, schema=STAGING, fmt="csv"))
     return ingest_csv(spark, path, STAGING, mode="FAILFAST").rows
 
 

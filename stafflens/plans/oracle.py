@@ -63,10 +63,14 @@ o AS (
 l AS (
   SELECT orders.o_custkey, o_orderstatus AS last_status, o_orderpriority AS last_priority
   FROM orders JOIN o ON orders.o_orderkey = o.last_key),
+c AS (
+  SELECT customer.*, COALESCE(n_all, 0) AS n_all, COALESCE(n_o, 0) AS n_o, COALESCE(n_p, 0) AS n_p,
+    COALESCE(n_f, 0) AS n_f, COALESCE(n_urgent, 0) AS n_urgent, min_price, first_dt
+  FROM customer LEFT JOIN o ON o.o_custkey = c_custkey),
 staging AS (
   SELECT
     CAST(c.c_custkey AS BIGINT) AS EmployeeNumber,
-    CAST(20 + o.n_all AS INT) AS Age,
+    CAST(20 + c.n_all AS INT) AS Age,
     CASE WHEN c.c_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS Gender,
     CASE WHEN c.c_acctbal < 0 THEN 'Divorced' WHEN c.c_acctbal < 5000 THEN 'Single' ELSE 'Married' END AS MaritalStatus,
     c.c_mktsegment AS Department,
@@ -74,34 +78,33 @@ staging AS (
     CAST(6 - CAST(SUBSTR(l.last_priority, 1, 1) AS INT) AS INT) AS Education,
     l.last_priority AS EducationField,
     CASE WHEN l.last_status = 'F' THEN 'Yes' ELSE 'No' END AS Attrition,
-    CASE WHEN o.n_urgent >= 3 THEN 'Yes' ELSE 'No' END AS OverTime,
-    CASE WHEN o.n_p = 0 THEN 'Non-Travel' WHEN o.n_p <= 3 THEN 'Travel_Rarely' ELSE 'Travel_Frequently' END AS BusinessTravel,
-    CAST(FLOOR(o.min_price / 10) AS INT) AS MonthlyIncome,
+    CASE WHEN c.n_urgent >= 3 THEN 'Yes' ELSE 'No' END AS OverTime,
+    CASE WHEN c.n_p = 0 THEN 'Non-Travel' WHEN c.n_p <= 3 THEN 'Travel_Rarely' ELSE 'Travel_Frequently' END AS BusinessTravel,
+    CAST(FLOOR(c.min_price / 10) AS INT) AS MonthlyIncome,
     CAST(100 + c.c_custkey % 1400 AS INT) AS DailyRate,
     CAST(30 + c.c_custkey % 71 AS INT) AS HourlyRate,
-    CAST(11 + o.n_all % 15 AS INT) AS PercentSalaryHike,
-    CAST(o.n_f % 4 AS INT) AS StockOptionLevel,
+    CAST(11 + c.n_all % 15 AS INT) AS PercentSalaryHike,
+    CAST(c.n_f % 4 AS INT) AS StockOptionLevel,
     CAST(1 + c.c_custkey % 5 AS INT) AS JobLevel,
     CAST(1 + c.c_nationkey % 4 AS INT) AS JobSatisfaction,
-    CAST(1 + o.n_p % 4 AS INT) AS EnvironmentSatisfaction,
-    CAST(1 + o.n_o % 4 AS INT) AS RelationshipSatisfaction,
-    CAST(1 + o.n_all % 4 AS INT) AS WorkLifeBalance,
-    CAST(1 + o.n_f % 4 AS INT) AS JobInvolvement,
-    CAST(CASE WHEN o.n_urgent >= 3 THEN 4 WHEN o.n_urgent = 0 THEN 2 ELSE 3 END AS INT) AS PerformanceRating,
+    CAST(1 + c.n_p % 4 AS INT) AS EnvironmentSatisfaction,
+    CAST(1 + c.n_o % 4 AS INT) AS RelationshipSatisfaction,
+    CAST(1 + c.n_all % 4 AS INT) AS WorkLifeBalance,
+    CAST(1 + c.n_f % 4 AS INT) AS JobInvolvement,
+    CAST(CASE WHEN c.n_urgent >= 3 THEN 4 WHEN c.n_urgent = 0 THEN 2 ELSE 3 END AS INT) AS PerformanceRating,
     CAST(1 + c.c_custkey % 29 AS INT) AS DistanceFromHome,
-    CAST(o.n_urgent AS INT) AS NumCompaniesWorked,
-    CAST(o.n_o % 7 AS INT) AS TrainingTimesLastYear,
-    CAST(o.n_all - 1 AS INT) AS YearsAtCompany,
-    CAST(o.n_o AS INT) AS YearsInCurrentRole,
-    CAST(o.n_p AS INT) AS YearsSinceLastPromotion,
-    CAST(o.n_f AS INT) AS YearsWithCurrManager,
+    CAST(c.n_urgent AS INT) AS NumCompaniesWorked,
+    CAST(c.n_o % 7 AS INT) AS TrainingTimesLastYear,
+    CAST(GREATEST(c.n_all - 1, 0) AS INT) AS YearsAtCompany,
+    CAST(c.n_o AS INT) AS YearsInCurrentRole,
+    CAST(c.n_p AS INT) AS YearsSinceLastPromotion,
+    CAST(c.n_f AS INT) AS YearsWithCurrManager,
     CAST(CASE WHEN c.c_custkey = 0 THEN NULL ELSE FLOOR((c.c_custkey - 1) / 4) END AS BIGINT) AS ManagerId,
-    CAST(o.first_dt AS DATE) AS hire_date
-  FROM customer c
+    CAST(c.first_dt AS DATE) AS hire_date
+  FROM c
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  JOIN o ON o.o_custkey = c.c_custkey
-  JOIN l ON l.o_custkey = c.c_custkey),
+  LEFT JOIN l ON l.o_custkey = c.c_custkey),
 performance_fact AS (
   SELECT o_custkey AS employee_id,
     CAST(DATE_TRUNC('year', o_orderdate) AS DATE) AS date_key,
@@ -124,6 +127,11 @@ def with_hr(body: str, ctes: str = "", recursive: bool = False) -> str:
     return f"{head}{_HR}{extra}\n{body}"
 
 
+def oracle_as_of(key: str, as_of) -> str:
+    """The SQL of ``key`` looking back from another date than the fixture data's."""
+    return ORACLE[key].replace(AS_OF_SQL, f"DATE '{as_of.isoformat()}'")
+
+
 N = "COUNT(*)"
 YES_N = "COUNT(*) FILTER (WHERE Attrition = 'Yes')"
 RATE2 = R(PCT(YES_N, N), 2)
@@ -537,23 +545,23 @@ ORACLE["overall_rate"] = with_hr(
 # ------------------------------------------------------------------ load: staging → star
 _STAR = """dim_department AS (
   SELECT CAST(ROW_NUMBER() OVER (ORDER BY department_name) AS BIGINT) AS department_id, department_name
-  FROM (SELECT DISTINCT Department AS department_name FROM staging WHERE Department IS NOT NULL) d),
+  FROM (SELECT DISTINCT Department AS department_name FROM staging) d),
 dim_job_role AS (
   SELECT CAST(ROW_NUMBER() OVER (ORDER BY job_role_name) AS BIGINT) AS job_role_id, job_role_name
-  FROM (SELECT DISTINCT JobRole AS job_role_name FROM staging WHERE JobRole IS NOT NULL) j),
+  FROM (SELECT DISTINCT JobRole AS job_role_name FROM staging) j),
 dim_employee AS (
   SELECT CAST(ROW_NUMBER() OVER (ORDER BY EmployeeNumber, Age, Gender, MaritalStatus, Education, EducationField)
               AS BIGINT) AS employee_key,
     EmployeeNumber AS employee_id, Age AS age, Gender AS gender, MaritalStatus AS marital_status,
     Education AS education, EducationField AS education_field
-  FROM staging WHERE EmployeeNumber IS NOT NULL),
+  FROM staging),
 fact_attrition AS (
   SELECT CAST(ROW_NUMBER() OVER (ORDER BY e.employee_key) AS BIGINT) AS attrition_id, e.employee_key,
     d.department_id, s.Attrition AS attrition, s.YearsAtCompany AS years_at_company,
     s.YearsInCurrentRole AS years_in_current_role, s.YearsSinceLastPromotion AS years_since_last_promotion,
     s.YearsWithCurrManager AS years_with_current_manager, CAST(s.MonthlyIncome AS DECIMAL(12,2)) AS monthly_income,
-    s.PercentSalaryHike AS percent_salary_hike, s.StockOptionLevel AS stock_option_level, s.OverTime AS overtime,
-    s.BusinessTravel AS business_travel, s.DistanceFromHome AS distance_from_home
+    CAST(NULL AS INT) AS percent_salary_hike, CAST(NULL AS INT) AS stock_option_level, CAST(NULL AS VARCHAR) AS overtime,
+    CAST(NULL AS VARCHAR) AS business_travel, CAST(NULL AS INT) AS distance_from_home
   FROM staging s JOIN dim_employee e ON s.EmployeeNumber = e.employee_id
   JOIN dim_department d ON s.Department = d.department_name),
 fact_performance AS (
@@ -578,25 +586,37 @@ FROM (SELECT CAST(UNNEST(GENERATE_SERIES(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS
   CAST(DATE_TRUNC('month', MAX(event_date)) AS TIMESTAMP) AS hi FROM retention_fact)""")
 
 
-def _rule_sql(r) -> str:
-    head = f"SELECT {q(r.table)} AS table_name, {q(r.kind)} AS rule, {q(r.column)} AS column_name, "
-    c = r.column
-    if r.kind == "unique":
-        return (head + "CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM "
-                f"{r.table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) u")
-    if r.kind == "not_null":
-        return head + f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations FROM {r.table}"
-    if r.kind == "max_length":
-        return head + f"CAST(COUNT(*) FILTER (WHERE LENGTH({c}) > {r.limit}) AS BIGINT) AS violations FROM {r.table}"
-    guard = f"t.{c} IS NOT NULL AND " if r.kind == "foreign_key" else ""
-    return (head + f"CAST(COUNT(*) AS BIGINT) AS violations FROM {r.table} t WHERE {guard}"
-            f"NOT EXISTS (SELECT 1 FROM {r.ref_table} x WHERE x.{r.ref_column} = t.{c})")
+# The rules of the warehouse, written out here once more so that a rule missing on the Spark side shows.
+_UNIQUE = (("dim_department", "department_id"), ("dim_department", "department_name"), ("dim_job_role", "job_role_id"),
+           ("dim_job_role", "job_role_name"), ("dim_employee", "employee_key"), ("dim_employee", "employee_id"),
+           ("fact_attrition", "attrition_id"), ("fact_performance", "performance_id"))
+_NOT_NULL = (("dim_department", "department_name"), ("dim_job_role", "job_role_name"), ("dim_employee", "employee_id"))
+_MAX_LENGTH = (("dim_department", "department_name", 100), ("dim_job_role", "job_role_name", 100),
+               ("dim_employee", "gender", 20), ("dim_employee", "marital_status", 30),
+               ("dim_employee", "education_field", 100), ("fact_attrition", "attrition", 10),
+               ("fact_attrition", "overtime", 10), ("fact_attrition", "business_travel", 50))
+_FOREIGN_KEY = (("fact_attrition", "employee_key", "dim_employee"), ("fact_attrition", "department_id", "dim_department"),
+                ("fact_performance", "employee_key", "dim_employee"), ("fact_performance", "job_role_id", "dim_job_role"),
+                ("fact_performance", "department_id", "dim_department"))
+_LOOKUP_MISS = (("Department", "dim_department", "department_name"), ("JobRole", "dim_job_role", "job_role_name"),
+                ("EmployeeNumber", "dim_employee", "employee_id"))
 
 
 def _constraint_sql() -> str:
-    from ..operators.warehouse import star_rules
-    from ..sources.schemas import VARCHAR_LIMITS
-    return with_hr("\nUNION ALL\n".join(_rule_sql(r) for r in star_rules(VARCHAR_LIMITS)), _STAR)
+    def head(table: str, rule: str, column: str) -> str:
+        return f"SELECT {q(table)} AS table_name, {q(rule)} AS rule, {q(column)} AS column_name, "
+
+    parts = [head(t, "unique", c) + "CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM "
+             f"{t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) u" for t, c in _UNIQUE]
+    parts += [head(t, "not_null", c) + f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations FROM {t}"
+              for t, c in _NOT_NULL]
+    parts += [head(t, "max_length", c) + f"CAST(COUNT(*) FILTER (WHERE LENGTH({c}) > {n}) AS BIGINT) AS violations FROM {t}"
+              for t, c, n in _MAX_LENGTH]
+    parts += [head(t, "foreign_key", c) + f"CAST(COUNT(*) AS BIGINT) AS violations FROM {t} t WHERE t.{c} IS NOT NULL "
+              f"AND NOT EXISTS (SELECT 1 FROM {ref} x WHERE x.{c} = t.{c})" for t, c, ref in _FOREIGN_KEY]
+    parts += [head("staging", "lookup_miss", c) + "CAST(COUNT(*) AS BIGINT) AS violations FROM staging t WHERE "
+              f"NOT EXISTS (SELECT 1 FROM {ref} x WHERE x.{k} = t.{c})" for c, ref, k in _LOOKUP_MISS]
+    return with_hr("\nUNION ALL\n".join(parts), _STAR)
 
 
 ORACLE["constraint_report"] = _constraint_sql()

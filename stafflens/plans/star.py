@@ -1,22 +1,22 @@
 """Staging → star schema: the load steps as one plan (dims first, then facts).
 
-The staging table is read from its stored copy (or, for a non-materialized
-source, checkpointed once in the shared checkpoint folder) so the three
-dimensions, two facts and the checks read it instead of recomputing it from
-the raw tables five times.
+Each table is built once for a state of its source and stored as Parquet in the
+shared checkpoint folder; the facts read the stored dimensions, the constraint
+report reads all of them, and every later call reads what is there. For a
+source given as frames, staging is checkpointed once and the tables are built
+per ``Star``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.warehouse import Lookup, build_dim, build_dim_time, build_fact, check_constraints, star_rules
 from ..session import ensure_checkpoint_dir
-from ..sources.fixtures import HrTables
+from ..sources.fixtures import HrTables, stored
 from ..sources import schemas
 from ..sources.schemas import VARCHAR_LIMITS
-from ..sources.sinks import write_table
+from ..sources.sinks import conform, write_table
 
 # Declared schema of every star table (DDL), used when the tables are written.
 TABLE_SCHEMAS = {
@@ -34,9 +34,13 @@ ATTRITION_MEASURES = [
     ("YearsInCurrentRole", "years_in_current_role", None),
     ("YearsSinceLastPromotion", "years_since_last_promotion", None),
     ("YearsWithCurrManager", "years_with_current_manager", None),
-    ("MonthlyIncome", "monthly_income", "decimal(12,2)"), ("PercentSalaryHike", "percent_salary_hike", None),
-    ("StockOptionLevel", "stock_option_level", None), ("OverTime", "overtime", None),
-    ("BusinessTravel", "business_travel", None), ("DistanceFromHome", "distance_from_home", None),
+    ("MonthlyIncome", "monthly_income", "decimal(12,2)"),
+]
+# Columns of the fact that the source's load leaves NULL, though staging has them.
+ATTRITION_OMITTED = [
+    ("PercentSalaryHike", "percent_salary_hike", None), ("StockOptionLevel", "stock_option_level", None),
+    ("OverTime", "overtime", None), ("BusinessTravel", "business_travel", None),
+    ("DistanceFromHome", "distance_from_home", None),
 ]
 PERFORMANCE_MEASURES = [
     ("PerformanceRating", "performance_rating", None), ("JobSatisfaction", "job_satisfaction", None),
@@ -46,16 +50,22 @@ PERFORMANCE_MEASURES = [
 
 
 class Star:
-    """Lazily built star tables of one data directory (each built once)."""
+    """Lazily built star tables of one data directory (each built once).
+
+    ``fill_omitted`` also loads the five attrition columns that the source's
+    INSERT does not list and so leaves NULL.
+    """
 
-    def __init__(self, t: HrTables, materialize: bool = True):
+    def __init__(self, t: HrTables, materialize: bool = True, fill_omitted: bool = False):
         self.t = t
         self.materialize = materialize
+        self.fill_omitted = fill_omitted
         self._cache: dict[str, DataFrame] = {}
 
     def _once(self, name, build):
         if name not in self._cache:
-            self._cache[name] = build()
+            keep = self.materialize and self.t.materialize and name != "staging"
+            self._cache[name] = stored(self.t, f"star_{name}", build) if keep else build()
         return self._cache[name]
 
     def staging(self) -> DataFrame:
@@ -69,17 +79,17 @@ class Star:
 
     def dim_department(self) -> DataFrame:
         return self._once("dim_department", lambda: build_dim(
-            self.staging().where(F.col("Department").isNotNull()), DEPT, "department_id",
+            self.staging(), DEPT, "department_id",
             natural_key="department_name"))
 
     def dim_job_role(self) -> DataFrame:
         return self._once("dim_job_role", lambda: build_dim(
-            self.staging().where(F.col("JobRole").isNotNull()), ROLE, "job_role_id",
+            self.staging(), ROLE, "job_role_id",
             natural_key="job_role_name"))
 
     def dim_employee(self) -> DataFrame:
         return self._once("dim_employee", lambda: build_dim(
-            self.staging().where(F.col("EmployeeNumber").isNotNull()), EMPLOYEE, "employee_key",
+            self.staging(), EMPLOYEE, "employee_key",
             distinct=False, order=["employee_id"], natural_key="employee_id"))
 
     def _emp_lookup(self) -> Lookup:
@@ -89,9 +99,11 @@ class Star:
         return Lookup(self.dim_department(), "Department", "department_name", "department_id", small=True)
 
     def fact_attrition(self) -> DataFrame:
-        return self._once("fact_attrition", lambda: build_fact(
-            self.staging(), [self._emp_lookup(), self._dept_lookup()], ATTRITION_MEASURES,
-            "attrition_id", "employee_key"))
+        measures = ATTRITION_MEASURES + (ATTRITION_OMITTED if self.fill_omitted else [])
+        name = "fact_attrition_filled" if self.fill_omitted else "fact_attrition"
+        return self._once(name, lambda: conform(build_fact(
+            self.staging(), [self._emp_lookup(), self._dept_lookup()], measures,
+            "attrition_id", "employee_key"), schemas.FACT_ATTRITION))
 
     def fact_performance(self) -> DataFrame:
         role = Lookup(self.dim_job_role(), "JobRole", "job_role_name", "job_role_id", small=True)

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: A Connect client writes under a folder of its own, so two of them never share a path.
+_CONNECT_ID = uuid.uuid4().hex
+
+
 def _default_driver_memory() -> str:
     """Half of the host's RAM, between 1 and 16 GB (local mode: the driver is the executor)."""
     try:
@@ -55,7 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session: the server owns the folder
-        return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        return f"{shared.rstrip('/')}/stafflens-{_CONNECT_ID}"
     current = sc.getCheckpointDir()
     if current:
         return current

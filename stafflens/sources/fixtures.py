@@ -23,9 +23,10 @@ Plan shape (scales with the data):
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,30 @@ def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
 
 
 def clear_plan_cache() -> None:
-    """Forget cached plans (after the files under a directory were replaced)."""
+    """Forget cached plans."""
     _PLANS.clear()
 
 
+def listing_digest(spark: SparkSession, path: str) -> str:
+    """Digest of the paths, sizes and times of all files under ``path``, from the
+    file system that Spark itself reads (local or remote). It is part of every
+    cache key and of every stored table's path, so files that are replaced are
+    read again and a stored table never outlives its source."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # a remote (Connect) session lists on the server, at each read
+        return "remote"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files, found = where.getFileSystem(conf).listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _plan(spark, ("read", path), lambda: spark.read.parquet(path))
+    return _plan(spark, ("read", path, listing_digest(spark, path)), lambda: spark.read.parquet(path))
 
 
 def _priority_digit(c: str) -> F.Column:
@@ -93,12 +111,14 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
     key, nat = F.col("c_custkey"), F.col("c_nationkey")
-    n_all, n_o, n_p, n_f, n_urgent = (F.col(c) for c in ("n_all", "n_o", "n_p", "n_f", "n_urgent"))
+    n_all, n_o, n_p, n_f, n_urgent = (F.coalesce(F.col(c), F.lit(0)) for c in (
+        "n_all", "n_o", "n_p", "n_f", "n_urgent"))
 
     def i(c: F.Column) -> F.Column:
         return c.cast("int")
 
-    joined = customer.join(geo, nat == geo.n_nationkey).join(o, key == o.o_custkey)
+    # An employee without orders stays: all counts 0, tenure 0, and no income, education or hire date.
+    joined = customer.join(geo, nat == geo.n_nationkey).join(o, key == o.o_custkey, "left")
     return joined.select(
         key.cast("bigint").alias("EmployeeNumber"),
         i(20 + n_all).alias("Age"),
@@ -128,7 +148,7 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
         i(1 + key % 29).alias("DistanceFromHome"),
         i(n_urgent).alias("NumCompaniesWorked"),
         i(n_o % 7).alias("TrainingTimesLastYear"),
-        i(n_all - 1).alias("YearsAtCompany"),
+        i(F.greatest(n_all - 1, F.lit(0))).alias("YearsAtCompany"),
         i(n_o).alias("YearsInCurrentRole"),
         i(n_p).alias("YearsSinceLastPromotion"),
         i(n_f).alias("YearsWithCurrManager"),
@@ -169,41 +189,59 @@ def dim_employee_wide(staging_df: DataFrame) -> DataFrame:
     )
 
 
-def _source_signature(sf_dir: str) -> str:
-    """Digest of the source files' paths, sizes and times (invalidates stored tables)."""
-    h = hashlib.sha1(sf_dir.encode())
-    for name in ("customer", "nation", "region", "orders"):
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(path)
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:  # remote storage: the path alone keys the table
-            h.update(name.encode())
-    return h.hexdigest()[:16]
-
-
-def stored(spark: SparkSession, name: str, sf_dir: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(t: HrTables, name: str, build, cluster_by: str | None = None) -> DataFrame:
     """``build()`` written once as Parquet under the shared checkpoint folder, then read.
 
-    The staging snapshot and the score history are derived tables that every
-    analysis reads (the source loads staging once and queries it many times).
-    Writing them once replaces a per-query re-aggregation of ``orders``; a
-    stored table survives executor loss and gives the planner file-size
-    statistics for its join choices. ``partition_by`` lays the table out by
-    date so as-of snapshots and date spans prune whole partitions.
+    The staging snapshot, the score history and the star tables are derived
+    tables that many analyses read (the source loads staging once and queries
+    it many times). Writing them once replaces a per-query re-aggregation of
+    ``orders``; a stored table survives executor loss and gives the planner
+    file-size statistics for its join choices. ``cluster_by`` lays the table
+    out by a date column, so as-of snapshots and date spans prune whole
+    partitions; the rows are rebalanced on it first, which writes a few files
+    of a good size for each date instead of one per task and date.
     """
-    def write_then_read() -> DataFrame:
-        from ..session import ensure_checkpoint_dir
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{root}/stafflens_tables/{_source_signature(sf_dir)}/{name}"
+    schema: list = []
+
+    def write(path: str) -> None:
         df = build()
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        schema.append(df.schema)
+        if cluster_by:
+            df.hint("rebalance", cluster_by).write.mode("overwrite").partitionBy(cluster_by).parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+
+    def write_then_read() -> DataFrame:
+        path = stored_path(t, name, write)
         # The declared schema fixes the partition column's type (no inference).
-        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
-    return _plan(spark, ("stored", name, sf_dir), write_then_read)
+        return t.spark.read.schema(schema[0]).parquet(path).select(*schema[0].fieldNames())
+    return _plan(t.spark, ("stored", name, t.sf_dir, t.signature), write_then_read)
+
+
+def stored_path(t: HrTables, name: str, write) -> str:
+    """Path of a table that ``write(path)`` makes once for each state of the source.
+
+    It lies in the session's own checkpoint folder and is deleted when the
+    session's JVM ends.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    def make() -> str:
+        root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stafflens_tables"
+        path = f"{root}/{t.signature}/{name}"
+        write(path)
+        _delete_at_exit(t.spark, root)
+        return path
+    return _plan(t.spark, ("path", name, t.sf_dir, t.signature), make)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # a remote session cannot ask for it
+        return
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)
 
 
 @dataclass
@@ -219,12 +257,20 @@ class HrTables:
     sf_dir: str
     materialize: bool = True
 
-    _STORED = {"staging": (), "performance_fact": ("date_key",)}
+    _STORED = {"staging": None, "performance_fact": "date_key"}
+
+    @cached_property
+    def signature(self) -> str:
+        """Digest of the source's files as they are when this object is first used."""
+        h = hashlib.sha1(self.sf_dir.encode())
+        for name in ("customer", "nation", "region", "orders"):
+            h.update(listing_digest(self.spark, f"{self.sf_dir.rstrip('/')}/{name}.parquet").encode())
+        return h.hexdigest()[:16]
 
     def _get(self, name: str, build) -> DataFrame:
         if self.materialize and name in self._STORED:
-            return stored(self.spark, name, self.sf_dir, build, self._STORED[name])
-        return _plan(self.spark, (name, self.sf_dir, self.materialize), build)
+            return stored(self, name, build, self._STORED[name])
+        return _plan(self.spark, (name, self.sf_dir, self.signature, self.materialize), build)
 
     def staging(self) -> DataFrame:
         return self._get("staging", lambda: staging(self.spark, self.sf_dir))
@@ -249,12 +295,16 @@ class HrFrames(HrTables):
     def __init__(self, spark: SparkSession, staging_df: DataFrame, performance_df: DataFrame | None = None,
                  retention_df: DataFrame | None = None):
         from .schemas import PERFORMANCE_FACT, RETENTION_FACT
-        super().__init__(spark, f"frames:{id(staging_df)}", materialize=False)
+        super().__init__(spark, f"frames:{uuid.uuid4().hex}", materialize=False)
         self._staging = staging_df
         self._performance = performance_df if performance_df is not None else spark.createDataFrame(
             [], PERFORMANCE_FACT)
         self._retention = retention_df if retention_df is not None else spark.createDataFrame([], RETENTION_FACT)
 
+    @cached_property
+    def signature(self) -> str:
+        return "given"
+
     def staging(self) -> DataFrame:
         return self._staging
 
