@@ -75,3 +75,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         target = warehouse.rstrip("/") + "/_stafflens_checkpoints"
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Ask Spark's file system to delete ``path`` when the session's JVM ends."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # a remote session cannot ask for it
+        return
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)

@@ -224,26 +224,17 @@ def stored_path(t: HrTables, name: str, write) -> str:
     It lies in the session's own checkpoint folder and is deleted when the
     session's JVM ends.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import delete_at_exit, ensure_checkpoint_dir
 
     def make() -> str:
         root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stafflens_tables"
         path = f"{root}/{t.signature}/{name}"
         write(path)
-        _delete_at_exit(t.spark, root)
+        delete_at_exit(t.spark, root)
         return path
     return _plan(t.spark, ("path", name, t.sf_dir, t.signature), make)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # a remote session cannot ask for it
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-
-
 @dataclass
 class HrTables:
     """Accessors for the HR tables of one data directory.
