@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stafflens.session import ensure_checkpoint_dir
+from stafflens.session import delete_at_exit, ensure_checkpoint_dir
 
 #: Word separators: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,10 +33,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the current stage only, and
-    later jobs do not derive the table again.
+    later jobs do not derive the table again. The folder goes when the session's
+    JVM ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(df.sparkSession)}/llm"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, root)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
