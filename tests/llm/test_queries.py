@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import plain
 import pytest
-from tables import SF, SMALL
+from tables import SMALL
 
 import corpus_pipeline
 from stafflens.llm import packing, registry
@@ -14,7 +14,7 @@ from stafflens.plans.check import compare, duck_connection
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_sql(spark, name):
-    result = compare(name, registry.QUERIES[name](spark, SF), registry.ORACLE[name], duck_connection(SF))
+    result = compare(name, registry.QUERIES[name](spark, SMALL), registry.ORACLE[name], duck_connection(SMALL))
     assert result.ok, "\n".join(result.notes)
 
 
