@@ -52,7 +52,7 @@ BATCH_BYTES = 1 << 19
 #: No byte of UTF-8.
 BREAK = 0xFF
 _POSITION = 23  # bits for a place in a piece
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _gram(length: int) -> int:
@@ -141,19 +141,29 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     step[np.argsort(before, kind="stable")] = np.arange(n)
     bound = np.zeros(n + 1, dtype=bool)  # neighbours that share less than ``length`` bytes
     bound[0] = bound[n] = True
+    # Runs of one byte in the transform: the places of a run move together.
+    head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1], [True])))
+    run = np.cumsum(np.concatenate(([0], before[1:] != before[:-1])))
     left, right = np.array([0]), np.array([n])
     for _ in range(length):
-        size = right - left
-        if not len(size):
+        if not len(left):
             break
-        owner = np.repeat(np.arange(len(size)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + left[owner]
-        to = step[at]
-        # The places of an interval that follow the same byte move to consecutive places.
-        by = np.argsort((owner << 32) | to)
-        to, owner, char = to[by], owner[by], before[at[by]]
-        cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (char[1:] != char[:-1]))))
-        lo, hi = to[cut], to[np.append(cut[1:], len(to)) - 1] + 1
+        first, last = run[left], run[right - 1]
+        plain = first == last  # one byte comes before all places of the interval: one longer interval
+        lo = step[left[plain]]
+        hi = lo + (right - left)[plain]
+        if not plain.all():
+            first, count, l, r = first[~plain], (last - first + 1)[~plain], left[~plain], right[~plain]
+            owner = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+            begin, end = np.maximum(head[at], l[owner]), np.minimum(head[at + 1], r[owner])
+            to, char = step[begin], before[begin]
+            # Runs of the same byte in one interval move to neighbouring places.
+            by = np.argsort((owner << 32) | to)
+            to, end, owner, char = to[by], to[by] + (end - begin)[by], owner[by], char[by]
+            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (char[1:] != char[:-1]))))
+            lo = np.concatenate((lo, to[cut]))
+            hi = np.concatenate((hi, end[np.append(cut[1:], len(to)) - 1]))
         new = ~bound[hi]
         bound[hi[new]] = True
         left, right = lo[new], hi[new]
@@ -168,22 +178,30 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _rotations(data: np.ndarray, length: int) -> np.ndarray:
-    """Starts of all rotations in the order of their first ``length`` bytes or more, by doubling."""
+    """Starts of all rotations in the order of their first ``length`` bytes or more, by doubling.
+
+    Two ranks and a start are sorted as one 64-bit number, which takes batches of up to two million bytes.
+    """
     n = len(data)
+    bits = np.uint64(n.bit_length())
+    if 3 * int(bits) > 64:
+        raise ValueError("too many bytes for one transform")
+    start = np.arange(n, dtype=np.uint64)
+    done = (64 - int(bits)) // 8
     key = np.zeros(n, dtype=np.uint64)
-    round_ = np.concatenate((data, np.resize(data, 8)))
-    for i in range(8):
-        key = key << np.uint64(8) | round_[i : i + n].astype(np.uint64)
-    done = 8
+    for i in range(done):
+        key = key << np.uint64(8) | np.roll(data, -i).astype(np.uint64)
     while True:
-        order = np.argsort(key)
-        key = key[order]
-        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        both = key << bits | start
+        both.sort()
+        order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        both >>= bits
+        fresh = np.concatenate(([False], both[1:] != both[:-1]))
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(fresh).astype(np.uint64)
-        if done >= length or fresh.all():
+        if done >= length or fresh[1:].all():
             return order
-        key = rank << np.uint64(32) | np.roll(rank, -done)
+        key = rank << bits | np.roll(rank, -done)
         done *= 2
 
 
@@ -212,8 +230,8 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in part["text"]]
                 text, key, _, _, place = anchored(raw, length)
                 # Windows of one anchor that lie in two pieces of a text are one place.
@@ -314,13 +332,14 @@ def _repeats(segments: DataFrame, length: int, widths: list[int]) -> DataFrame:
     distinct = stored(distinct, "segments")
     groups = distinct.groupBy("key").agg(F.count("*").alias("members"))
     groups = stored(groups.where("members > 1"), "groups")
+    most = max(2, min(MOST, (1 << 20) // (2 * length)))  # a segment has less than twice the length
     # An equal segment at another place repeats whole.
     found = distinct.where("n > 1").select("seg_id", F.lit(0).cast("long").alias("lo"), F.length("seg").cast("long").alias("hi"))
     rest = distinct.join(groups, "key")
-    found = found.union(_expanded(rest.where(F.col("members") <= MOST), length))
-    hot = groups.where(F.col("members") > MOST)
+    found = found.union(_expanded(rest.where(F.col("members") <= most), length))
+    hot = groups.where(F.col("members") > most)
     if widths and hot.limit(1).count():
-        parts = stored(_cut(rest.where(F.col("members") > MOST), length, widths[0]), "parts")
+        parts = stored(_cut(rest.where(F.col("members") > most), length, widths[0]), "parts")
         deeper = _repeats(parts, length, widths[1:]).withColumnRenamed("unit", "seg_id")
         found = found.union(deeper.select("seg_id", "lo", "hi"))
     found = stored(found, "runs")
