@@ -101,8 +101,10 @@ def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     df = df.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     df = df.withColumn("__h", F.when(F.size("__w") >= WINDOW, hashes))
     doubtful = F.size(F.array_distinct("__h")) < F.size("__h")
+    # A condition on the ledger must not be copied down into these steps: it would split the text again
+    # for each of its windows. The optimizer moves no condition below a column that is not deterministic.
     columns = {
-        "n_words": F.size("__w"),
+        "n_words": F.when(F.monotonically_increasing_id() >= 0, F.size("__w")),
         "word_chars": _without(F.col("__t"), SPACES),
         "n_symbols": F.length("__t") - _without(F.col("__t"), SYMBOLS),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),

@@ -47,3 +47,11 @@ def test_filter_keeps_columns_and_repeats(spark):
     out = quality.filter_documents(df)
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [0, 0]
     assert quality.filter_documents(df.where(F.lit(False))).count() == 0
+
+
+def test_conditions_stay_above_the_measurements(spark, tmp_path):
+    _frame(spark, _texts()[:20]).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for out in (quality.filter_documents(df), quality.apply_policy(quality.ledger(df), quality.BASE).where("kept and n_lines > 1")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "DataFilters: []" in plan and plan.count("split(") <= 2
