@@ -39,6 +39,8 @@ BLOCK = 64
 #: A large family is cut into at most this many blocks while its blocks stay small enough for a task.
 PARTS = 32
 MOST = 4096
+#: Up to so many keys in all, sets are compared by one product instead of pair by pair.
+SMALL = 4096
 
 
 def _digest(texts: DataFrame, carry: list[str], bands: int) -> DataFrame:
@@ -84,11 +86,6 @@ def links_among(sets: list[np.ndarray], percent: int, sides: np.ndarray | None =
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    width = 125
-    sig = S.signatures(sets, width)
-    # Five standard deviations below the share of equal minima that a pair at the threshold expects.
-    p = percent / 100
-    floor = p - 5 * (p * (1 - p) / width) ** 0.5
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -98,6 +95,28 @@ def links_among(sets: list[np.ndarray], percent: int, sides: np.ndarray | None =
         return i
 
     out = []
+    if size.sum() <= SMALL:
+        # Few keys in all: the sizes of all intersections in one product.
+        owner = np.repeat(np.arange(n), size)
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        holds = np.zeros((n, token.max() + 1), dtype=np.float32)
+        holds[owner, token] = 1
+        common = (holds @ holds.T).astype(np.int64)
+        linked = np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1)
+        if sides is not None:
+            linked &= sides[:, None] != sides[None, :]
+        for i, k in np.argwhere(linked).tolist():
+            a, b = find(i), find(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, k))
+        return out
+
+    width = 125
+    sig = S.signatures(sets, width)
+    # Five standard deviations below the share of equal minima that a pair at the threshold expects.
+    p = percent / 100
+    floor = p - 5 * (p * (1 - p) / width) ** 0.5
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         if sides is not None:
@@ -151,7 +170,7 @@ def _large_families(members: DataFrame, sizes: DataFrame, percent: int, id_type:
     """Links of the families of more than BLOCK members.
 
     A shingle that no other member has lies in no intersection: members with
-    more than (100 - percent) % of such shingles have no link and leave. The
+    too few shared ones for a link to the smallest possible partner leave. The
     member whose shingles are most shared is the centre; all others are
     compared with it natively, one row each. Members linked to it are in one
     component, so only the rest is left to be compared, with itself and with
@@ -162,7 +181,11 @@ def _large_families(members: DataFrame, sizes: DataFrame, percent: int, id_type:
     tokens = rows.select("family", "id", F.explode("shingles").alias("h"))
     df = stored(tokens.groupBy("family", "h").agg(F.count("*").alias("df")), "df")
     shared = tokens.join(df, ["family", "h"]).groupBy("family", "id").agg(F.count("*").alias("n"), F.sum((F.col("df") > 1).cast("long")).alias("shared"), F.avg("df").alias("score"))
-    shared = stored(shared.where(100 * F.col("shared") >= percent * F.col("n")), "shared")
+    # A partner has at least percent % of a member's keys, and no fewer than the family's smallest member.
+    least = stored(rows.groupBy("family").agg(F.min(F.size("shingles")).alias("least")), "least")
+    partner = F.greatest(F.ceil(percent * F.col("n") / 100), F.col("least"))
+    possible = (100 + percent) * F.col("shared") >= percent * (F.col("n") + partner)
+    shared = stored(shared.join(least, "family").where(possible).drop("least"), "shared")
     centre = shared.groupBy("family").agg(F.max_by("id", F.struct("score", F.col("n"))).alias("centre"))
     centre = stored(centre.join(rows, (centre.centre == rows.id) & (centre.family == rows.family)).select(centre.family, "centre", F.col("shingles").alias("core")), "centre")
     left = stored(rows.join(shared.select("family", "id"), ["family", "id"]), "eligible")
