@@ -14,7 +14,7 @@ lose no match:
    texts with another hash are moved, only their candidate segments are cut out,
    and equal segments become one, with a count.
 3. *Transform.* The distinct segments of a hash form a group; groups are batched
-   to half a megabyte, and each batch gets its own Burrows-Wheeler transform. Starting
+   to a quarter of a megabyte, and each batch gets its own Burrows-Wheeler transform. Starting
    from the interval of the empty string, all intervals of strings of l bytes are
    extended by one byte to the left, breadth first; the right bounds that are new
    are exactly the places where neighbouring suffixes share l bytes. The expansion
@@ -48,11 +48,11 @@ from stafflens.llm.common import stored
 LENGTH = 400
 GRAM = 32
 MOST = 256
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 #: No byte of UTF-8.
 BREAK = 0xFF
 _POSITION = 23  # bits for a place in a piece
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 
 
 def _gram(length: int) -> int:
