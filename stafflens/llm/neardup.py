@@ -17,8 +17,8 @@
 6. Components of the verified links by alternating large-star and small-star.
 
 Two texts of similarity 0.85 miss each other in all 25 bands of five minima
-with a probability of 4e-7, and 0.8 with 5e-5 (paragraphs use 40 bands: 1e-7);
-a signature rejects a true link with less than 1e-6.
+with a probability of 4e-7, and 0.8 with 5e-5 (1e-7 in 40 bands, which the pipeline
+takes); a signature rejects a true link with less than 1e-6.
 """
 
 from __future__ import annotations
@@ -263,8 +263,8 @@ def components_of_documents(df: DataFrame, key: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, bands: int = 25) -> DataFrame:
     """The rows of ``df`` that represent their component (the smallest id), columns unchanged."""
-    dropped = components_of_documents(df, key, text, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    dropped = components_of_documents(df, key, text, percent, bands).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
     kept = df.join(stored(dropped, "dropped").hint("merge"), df[key] == F.col("__dropped"), "left_anti")
     return kept
