@@ -19,7 +19,7 @@ PII_KEY = "stafflens-demo-key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filter_documents(docs, quality.PRODUCTION)
+    return quality.filter_documents(docs, quality.PRODUCTION_2)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

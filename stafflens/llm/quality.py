@@ -42,6 +42,9 @@ RULES = (
     Rule(5, "long_words", "word_chars > 30 * n_words"),
     Rule(6, "exclamations", "n_exclaims > n_words"),
 )
+#: Rules that production@2 adds; a ledger has their bits only where it is asked for them.
+LATER = (Rule(7, "dense_symbols", "10 * n_symbols > n_words"),)
+ALL_RULES = RULES + LATER
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims")
 
 
@@ -53,12 +56,13 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        bits = {r.name: r.bit for r in RULES}
+        bits = {r.name: r.bit for r in ALL_RULES}
         return reduce(lambda m, n: m | 1 << bits[n], self.rules, 0)
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
 PRODUCTION = Policy("production", 1, tuple(r.name for r in RULES))
+PRODUCTION_2 = Policy("production", 2, tuple(r.name for r in ALL_RULES))
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -115,10 +119,10 @@ def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return df.select(*keep, *(columns[c].cast("long").alias(c) for c in MEASURES))
 
 
-def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Measurements and ``failed`` (long): bit r.bit is set where rule r fails."""
+def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Measurements and ``failed`` (long): bit r.bit is set where rule r of ``rules`` fails."""
     m = measured(df, text, keep)
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES]
+    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
     return m.withColumn("failed", reduce(lambda x, y: x.bitwiseOR(y), bits))
 
 
@@ -140,7 +144,7 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """
     masks = rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long")).alias("m")).agg(F.count("*").alias("n"))
     out = []
-    for r in (r for r in RULES if r.name in policy.rules):
+    for r in (r for r in ALL_RULES if r.name in policy.rules):
         bit, rest = 1 << r.bit, policy.mask & ~(1 << r.bit)
         total = lambda cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col("n"))), F.lit(0))
         out.append(F.struct(F.lit(r.name).alias("rule"), total(f"(m & {bit}) != 0").alias("n_failed"), total(f"m = {bit}").alias("n_only"), total(f"(m & {rest}) = 0").alias("n_kept_without")))
@@ -150,4 +154,5 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 def filter_documents(df: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
     """The rows of ``df`` that ``policy`` keeps, with all their columns."""
     whole = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
-    return ledger(whole, "__text", ("__row",)).where(passes(policy)).select("__row.*")
+    rules = tuple(r for r in ALL_RULES if r.name in policy.rules)
+    return ledger(whole, "__text", ("__row",), rules).where(passes(policy)).select("__row.*")
