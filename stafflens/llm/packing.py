@@ -5,7 +5,10 @@ the largest length are cut into pieces that fill it; all pieces are then placed
 in decreasing length: into the open bin of any size that leaves the least room,
 else into a new bin of the size whose cost per expected token is least. When a
 group is done each bin shrinks to the cheapest permitted length that still
-holds its contents.
+holds its contents. Against that stands a second packing of the group: bin by
+bin, the longest piece left opens the size that costs least per token of what
+it really takes from the pieces left (the longest that fits, again and again),
+after shrinking. The cheaper of the two is the result.
 
 Only lengths travel. Rows are dealt evenly over groups of about ``group_rows``
 (round robin, so no key can be hot); a group is packed on its own in one task,
@@ -19,7 +22,7 @@ rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +79,58 @@ class Packer:
         return [min((c for c in self.sizes if c >= u), key=lambda c: (self.cost(c), c)) for u in self.used]
 
 
+class Completer:
+    """Bins of the lengths left, one at a time; each size competes with what it would really hold."""
+
+    def __init__(self, lengths: np.ndarray, capacities=CAPACITIES, cost=cost):
+        self.sizes, self.cost = sorted(capacities), cost
+        values, counts = np.unique(lengths, return_counts=True)
+        self.lengths: list[int] = values.tolist()  # those left, sorted
+        self.left: dict[int, int] = dict(zip(self.lengths, counts.tolist()))
+
+    def _content(self, capacity: int) -> tuple[int, list[tuple[int, int]]]:
+        """Tokens and (length, pieces) that a bin takes, the longest that fit first."""
+        taken, room, at = [], capacity, bisect_right(self.lengths, capacity) - 1
+        while at >= 0:
+            n = self.lengths[at]
+            k = min(self.left[n], room // n)
+            taken.append((n, k))
+            room -= k * n
+            at = min(at, bisect_right(self.lengths, room)) - 1
+        return capacity - room, taken
+
+    def bins(self) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Capacity and content of each bin."""
+        while self.lengths:
+            best = None
+            for opened in (c for c in self.sizes if c >= self.lengths[-1]):
+                used, taken = self._content(opened)
+                shrunk = min((c for c in self.sizes if c >= used), key=lambda c: (self.cost(c), c))
+                rate = (self.cost(shrunk) / used, shrunk)
+                if best is None or rate < best[0]:
+                    best = rate, taken
+            for n, k in best[1]:
+                self.left[n] -= k
+                if not self.left[n]:
+                    del self.left[n], self.lengths[bisect_left(self.lengths, n)]
+            yield best[0][1], best[1]
+
+
+def completed(sizes: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and slot of each piece of the decreasing ``sizes``, and the capacity of each bin, by ``Completer``."""
+    bins, slots, final = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int32), []
+    values, first = np.unique(-sizes, return_index=True)
+    at = dict(zip((-values).tolist(), first.tolist()))  # next piece of each length
+    for capacity, content in Completer(sizes, capacities).bins():
+        slot = 0
+        for n, k in content:
+            bins[at[n] : at[n] + k] = len(final)
+            slots[at[n] : at[n] + k] = np.arange(slot, slot + k)
+            at[n], slot = at[n] + k, slot + k
+        final.append(capacity)
+    return bins, slots, np.array(final, dtype=np.int64)
+
+
 def pack_lengths(ids: np.ndarray, lengths: np.ndarray, group: int, capacities=CAPACITIES) -> pd.DataFrame:
     """Pack one group; ``group`` makes its bin ids distinct from other groups'."""
     largest = max(capacities)
@@ -86,11 +141,15 @@ def pack_lengths(ids: np.ndarray, lengths: np.ndarray, group: int, capacities=CA
     size = np.minimum(lengths[row] - start, largest)
     packer = Packer(capacities)
     bins, slots, filled = np.full(len(row), -1), np.zeros(len(row), dtype=np.int32), {}
-    for k in np.lexsort((piece, ids[row], -size)):
-        if size[k] > 0:
-            bins[k] = b = packer.place(int(size[k]))
-            slots[k] = filled[b] = filled.get(b, -1) + 1
+    order = np.lexsort((piece, ids[row], -size))
+    order = order[size[order] > 0]
+    for k in order:
+        bins[k] = b = packer.place(int(size[k]))
+        slots[k] = filled[b] = filled.get(b, -1) + 1
     final = np.array([*packer.capacities(), 0])
+    other, places, capacity = completed(size[order], capacities)
+    if sum(map(cost, capacity.tolist())) < sum(map(cost, final[:-1].tolist())):
+        bins[order], slots[order], final = other, places, np.append(capacity, 0)
     some = bins >= 0
     return pd.DataFrame({
         "row": row, "piece": piece.astype(np.int32), "start": start, "n_tokens": size,
