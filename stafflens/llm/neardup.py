@@ -264,7 +264,15 @@ def components_of_documents(df: DataFrame, key: str = "doc_id", text: str = "tex
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, bands: int = 25) -> DataFrame:
-    """The rows of ``df`` that represent their component (the smallest id), columns unchanged."""
-    dropped = components_of_documents(df, key, text, percent, bands).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = df.join(stored(dropped, "dropped").hint("merge"), df[key] == F.col("__dropped"), "left_anti")
-    return kept
+    """One row of each component of ``df``, that of the smallest id (null ids last), columns unchanged.
+
+    Rows are judged by their own text whatever their ids: of equal rows, and of
+    equal texts without id, one stays. A null or empty text stays.
+    """
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = rows.select("__row", F.col(key).cast("long").alias("__id"), F.col(text).alias("text"))
+    found = stored(classes(named, ["__row", "__id"], F.col("__row"), "text", percent, bands, "near"), "near-rows")
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
+    first = found.groupBy("component").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("component", F.col("first.__row").alias("first"))
+    dropped = found.join(stored(first, "near-first"), "component").where(F.col("__row") != F.col("first")).select("__row")
+    return rows.join(stored(dropped, "dropped").hint("merge"), "__row", "left_anti").drop("__row")

@@ -5,6 +5,7 @@ import random
 import plain
 
 import corpus_pipeline
+from stafflens.llm import neardup
 
 
 def test_near_duplicates_of_similarity_080_go(spark):
@@ -20,3 +21,13 @@ def test_near_duplicates_of_similarity_080_go(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
     assert kept == {0, 2, 4, 6, 7} == {d for d, (_, c) in plain.near_components(rows, 80).items() if c == d}
     assert {d for d, (_, c) in plain.near_components(rows, 85).items() if c == d} == set(range(8))
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (9, a), (9, b), (3, c), (3, c), (None, d), (None, d), (None, a), (None, None), (None, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(5, a), (9, b), (3, c), (None, d), (None, None), (None, ""), (4, "")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
