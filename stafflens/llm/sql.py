@@ -120,4 +120,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-SQL = {"op2_url_filters": OP2, "op7_minhash_near_dedup": OP7, "op8_exact_top_k": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10}
+ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {ITEM_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, {ITEM_WORDS} AS w FROM benchmark
+), i AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[p:p + 9], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM b WHERE len(w) > 0)
+), places AS (
+  SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i)
+), found AS (
+  SELECT rid, p, x.k, item FROM (SELECT rid, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM places) x JOIN i ON x.g = i.g AND x.k = i.k
+), hit AS (
+  SELECT rid, count(DISTINCT q)::BIGINT AS n FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT rid, p, k FROM found)) GROUP BY rid
+), items AS (
+  SELECT rid, count(*)::BIGINT AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT rid, item FROM found WHERE item IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.l, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+SQL = {"op2_url_filters": OP2, "op7_minhash_near_dedup": OP7, "op8_exact_top_k": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10, "op11_benchmark_decontamination": OP11}

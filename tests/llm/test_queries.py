@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_on_empty_tables_with_more_columns(spark, tmp_path, name):
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         df = spark.read.parquet(f"{SMALL}/{table}.parquet").limit(0)
         df.selectExpr("*", "1 AS row", "2 AS n", "3 AS unit", "4 AS id", "5 AS kept").write.parquet(f"{tmp_path}/{table}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
