@@ -25,10 +25,11 @@ def measures(text):
     }
 
 
-def failed(m):
+def failed(m, later=False):
+    """Failure bits of the rules; ``later``: with the rule that production@2 adds."""
     rules = (
         m["n_words"] < 10, 100 * m["n_repeat_words"] > 20 * m["n_words"], m["n_symbols"] > m["n_words"], 100 * m["n_dup_lines"] > 30 * m["n_lines"],
-        m["word_chars"] < 2 * m["n_words"], m["word_chars"] > 30 * m["n_words"], m["n_exclaims"] > m["n_words"],
+        m["word_chars"] < 2 * m["n_words"], m["word_chars"] > 30 * m["n_words"], m["n_exclaims"] > m["n_words"], later and 10 * m["n_symbols"] > m["n_words"],
     )
     return sum(1 << i for i, r in enumerate(rules) if r)
 
