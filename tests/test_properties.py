@@ -172,8 +172,9 @@ def test_star_build_is_clean_and_complete(spark):
     n = star.staging().count()
     assert star.fact_attrition().count() == n == star.fact_performance().count() == star.dim_employee().count()
     filled = ["percent_salary_hike", "stock_option_level", "overtime", "business_travel", "distance_from_home"]
-    fa = star.fact_attrition()
-    assert fa.where(" OR ".join(f"{c} IS NULL" for c in filled)).count() == 0
+    assert star.fact_attrition().where(" OR ".join(f"{c} IS NOT NULL" for c in filled)).count() == 0
+    fa = Star(HrTables(spark, SF_SMALL), fill_omitted=True).fact_attrition()
+    assert fa.count() == n and fa.where(" OR ".join(f"{c} IS NULL" for c in filled)).count() == 0
 
 
 def test_rounding_rule_matches_duckdb_and_exact_decimal(spark):
