@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ColumnLike, as_double, col, count_rows, count_where, fround, pct, safe_div
 from .joins import join_group_stats
+from .selection import select_percentiles
 
 Cols = Sequence[str | Column]
+#: Distinct values that one group's value map may hold; beyond, percentiles are selected by histograms.
+MAX_VALUES = 1_000_000
 
 
 # --- metric expressions for group_profile ----------------------------------------------------------
@@ -153,13 +156,19 @@ def percentile_bands(
     exact: bool = True,
     accuracy: int = 10_000,
     extra: Sequence[Column] = (),
+    select: bool = False,
 ) -> DataFrame:
     """Interpolated percentiles (PERCENTILE_CONT) of ``x`` per group, unrounded.
 
     ``exact`` uses ``percentile`` (value → count map per group, partially
     aggregated, so its state grows with the distinct values of ``x``, not the
-    rows); ``exact=False`` uses the bounded-memory ``percentile_approx``.
+    rows); with ``select`` it narrows each rank's interval by rounds of bounded
+    histograms instead (``selection``), which callers choose where ``x`` may have
+    more than ``MAX_VALUES`` distinct values; ``exact=False`` uses the
+    bounded-memory ``percentile_approx``.
     """
+    if exact and select:
+        return select_percentiles(df, by, x, ps, names, extra=extra)
     arr = (F.percentile(as_double(x), list(ps)) if exact
            else F.percentile_approx(as_double(x), list(ps), accuracy))
     out = df.groupBy(*by).agg(arr.alias("_ps"), *extra)
@@ -168,12 +177,13 @@ def percentile_bands(
     return out.drop("_ps")
 
 
-def group_median(df: DataFrame, by: Cols, x: str, name: str = "median", exact: bool = True) -> DataFrame:
-    return percentile_bands(df, by, x, [0.5], [name], exact=exact)
+def group_median(df: DataFrame, by: Cols, x: str, name: str = "median", exact: bool = True,
+                 select: bool = False) -> DataFrame:
+    return percentile_bands(df, by, x, [0.5], [name], exact=exact, select=select)
 
 
 def vs_group_median(df: DataFrame, by: Sequence[str], x: str, *, median_name: str = "_median",
-                    exact: bool = True, salt_from: Sequence[str] | None = None) -> DataFrame:
+                    exact: bool = True, salt_from: Sequence[str] | None = None, select: bool = False) -> DataFrame:
     """Every row with its group's median joined back (``median_name``, unrounded).
 
     The medians are one row per group. With ``salt_from`` (row id columns) they
@@ -181,7 +191,7 @@ def vs_group_median(df: DataFrame, by: Sequence[str], x: str, *, median_name: st
     group holding a third of the rows is never one task. Rows with a NULL key have no group and are dropped, as an
     inner join does.
     """
-    med = group_median(df, by, x, median_name, exact)
+    med = group_median(df, by, x, median_name, exact, select)
     if salt_from:
         med = med.select(*[F.col(c).alias(f"_m_{c}") for c in by], median_name)
         out = join_group_stats(df, med, [(F.col(c), f"_m_{c}") for c in by], salt_from=salt_from)

@@ -9,7 +9,7 @@
   join on its key. ``lookup_misses`` returns the rows an inner lookup drops,
   so they are reported instead of lost silently.
 * ``check_constraints``: the declared rules (unique, not null, text length,
-  foreign key) as one violation count per rule, all in one Spark job.
+  foreign key) as one violation count per rule; dense integer keys by bitmap.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import bounded_broadcast
 from .ranking import with_surrogate_key
@@ -141,19 +142,6 @@ def _report(table: str, kind: str, column: str, violations) -> DataFrame:
                              F.lit(column).alias("column_name"), F.col("violations").cast("bigint").alias("violations"))
 
 
-def _scalar_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
-    """NOT NULL and text-length rules of one table: one aggregate pass, one row per rule."""
-    counts = []
-    for i, r in enumerate(rules):
-        c = F.col(r.column)
-        cond = c.isNull() if r.kind == "not_null" else F.length(c) > r.limit
-        counts.append(F.count_if(cond).alias(f"_v{i}"))
-    one = df.agg(*counts)
-    stacked = ", ".join(f"'{r.kind}', '{r.column}', _v{i}" for i, r in enumerate(rules))
-    return one.selectExpr(f"stack({len(rules)}, {stacked}) AS (rule, column_name, violations)").select(
-        F.lit(table).alias("table_name"), "rule", "column_name", F.col("violations").cast("bigint"))
-
-
 def _unique_rule(df: DataFrame, r: Rule) -> DataFrame:
     """UNIQUE rule of one column, counted in the column's own type: rows of repeated non-NULL values."""
     per_value = df.where(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count(F.lit(1)).alias("_n"))
@@ -163,33 +151,111 @@ def _unique_rule(df: DataFrame, r: Rule) -> DataFrame:
 
 def _reference_rule(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
     """FOREIGN KEY (non-NULL values without a referenced row) or lookup miss (any row
-    without a match, NULL included): an anti-join against the referenced keys."""
+    without a match, NULL included): the distinct values with their row counts,
+    anti-joined against the referenced keys, so no row is moved."""
     df = tables[r.table]
     ref = tables[r.ref_table].select(F.col(r.ref_column).alias("_ref"))
     probe = df.where(F.col(r.column).isNotNull()) if r.kind == "foreign_key" else df
-    miss = probe.join(ref, probe[r.column] == ref["_ref"], "left_anti")
-    return _report(r.table, r.kind, r.column, miss.agg(F.count(F.lit(1)).alias("violations")))
+    values = probe.groupBy(F.col(r.column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    miss = values.join(ref, F.col("_v") == F.col("_ref"), "left_anti")
+    return _report(r.table, r.kind, r.column, miss.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")))
+
+
+Place = tuple[str, str]  # table and column
+
+
+def _places(r: Rule) -> list[Place]:
+    return [(r.table, r.column)] + ([(r.ref_table, r.ref_column)] if r.ref_table else [])
+
+
+def _measures(tables: dict[str, DataFrame], rules: Sequence[Rule], whole: Sequence[Place]) -> dict:
+    """Every count that one row at a time gives: NULLs and long texts of the rules, and of each column
+    in ``whole`` its NULLs, values, smallest and largest. One aggregate per table, all in one job."""
+    wanted: dict[str, list[tuple[tuple, str]]] = {}
+    for r in rules:
+        if r.kind == "not_null":
+            wanted.setdefault(r.table, []).append(((r,), f"count_if(`{r.column}` IS NULL)"))
+        elif r.kind == "max_length":
+            wanted.setdefault(r.table, []).append(((r,), f"count_if(length(`{r.column}`) > {r.limit})"))
+    for table, column in whole:
+        for name, value in (("nulls", "count_if({} IS NULL)"), ("n", "count({})"), ("min", "min({})"), ("max", "max({})")):
+            wanted.setdefault(table, []).append(((table, column, name), value.format(f"`{column}`")))
+    names, parts = [], []
+    for table, measures in wanted.items():
+        entries = [f"named_struct('i', {len(names) + i}, 'v', CAST({value} AS BIGINT))" for i, (_, value) in enumerate(measures)]
+        names += [name for name, _ in measures]
+        parts.append(tables[table].selectExpr(f"array({', '.join(entries)}) AS m").selectExpr("inline(m)"))
+    if not parts:
+        return {}
+    return {names[i]: v for i, v in reduce(DataFrame.unionByName, parts).collect()}
+
+
+#: A column is checked by bitmap while its values span at most so many numbers per value.
+SPARSE = 64
+
+
+def _bitmap_counts(tables: dict[str, DataFrame], places: Sequence[Place], refs: Sequence[Rule]) -> tuple[dict, dict]:
+    """Distinct values of each place, and for each reference rule the distinct values without a
+    referenced one: |values or referenced| - |referenced|, from one bitmap per 32,768 numbers."""
+    if not places:
+        return {}, {}
+    number = {p: i for i, p in enumerate(places)}
+    parts = []
+    for table in dict.fromkeys(t for t, _ in places):  # one scan a table
+        entries = [f"named_struct('place', {number[t, c]}, 'bucket', bitmap_bucket_number(CAST(`{c}` AS BIGINT)), "
+                   f"'bit', bitmap_bit_position(CAST(`{c}` AS BIGINT)))" for t, c in places if t == table]
+        parts.append(tables[table].selectExpr(f"inline(array({', '.join(entries)}))").where("bucket IS NOT NULL"))
+    bits = reduce(DataFrame.unionByName, parts).groupBy("place", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # What a place's bitmaps are counted for: the place itself, and its side of every reference rule.
+    roles = [[(-1 - i, False)] + [(k, side == 1) for k, r in enumerate(refs) for side in (0, 1) if _places(r)[side] == p]
+             for i, p in enumerate(places)]
+    role = ", ".join(f"array({', '.join(f"named_struct('what', {w}, 'is_ref', {ref})" for w, ref in r)})" for r in roles)
+    used = bits.selectExpr("bucket", "bits", f"inline(get(array({role}), place))")
+    merged = used.groupBy("what", "bucket").agg(F.expr("bitmap_or_agg(bits) AS all"), F.expr("bitmap_or_agg(CASE WHEN is_ref THEN bits END) AS ref"))
+    found = merged.groupBy("what").agg(F.expr("sum(bitmap_count(all) - coalesce(bitmap_count(ref), 0)) AS n"))
+    counts = {row["what"]: row["n"] for row in found.collect()}  # one number a place and rule
+    return ({p: counts.get(-1 - i, 0) for i, p in enumerate(places)}, {r: counts.get(i, 0) for i, r in enumerate(refs)})
 
 
 def check_constraints(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
     """One row per rule with its violation count (0 = rule holds).
 
-    Per table, all NOT NULL / length rules share one aggregate pass; each
-    UNIQUE rule is one aggregate and each reference rule one anti-join.
-    Everything is one Spark job (a union of the branches).
+    A first job aggregates every table once: NULLs, long texts, and the span of
+    integer key columns. Where the integers of a key are dense (surrogate keys
+    are), a second one makes bitmaps of them, 4 KB per 32,768 numbers, merged
+    within each task before they are shuffled; their bit counts tell whether a
+    value repeats or lacks its referenced key, exactly and without moving a row.
+    Rules that they clear are done. The others, and text keys, are counted by
+    distinct value: one aggregate, and for references one anti-join of the
+    distinct values.
     """
-    parts: list[DataFrame] = []
-    by_table: dict[str, list[Rule]] = {}
     for r in rules:
         if r.kind not in ("unique", "not_null", "max_length", "foreign_key", "lookup_miss"):
             raise ValueError(f"unknown rule kind {r.kind!r}")
-        by_table.setdefault(r.table, []).append(r)
-    for table, rs in by_table.items():
-        scalar = [r for r in rs if r.kind in ("not_null", "max_length")]
-        if scalar:
-            parts.append(_scalar_rules(tables[table], table, scalar))
-        parts.extend(_unique_rule(tables[table], r) for r in rs if r.kind == "unique")
-        parts.extend(_reference_rule(tables, r) for r in rs if r.kind in ("foreign_key", "lookup_miss"))
+    integer = {(t, f.name) for t, df in tables.items() for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    keyed = [r for r in rules if r.kind in ("unique", "foreign_key", "lookup_miss")]
+    whole = list(dict.fromkeys(p for r in keyed if integer.issuperset(_places(r)) for p in _places(r)))
+    seen = _measures(tables, rules, whole)
+    dense = {(t, c) for t, c in whole
+             if not seen[t, c, "n"] or seen[t, c, "max"] - seen[t, c, "min"] < SPARSE * seen[t, c, "n"]}
+    by_bits = [r for r in keyed if dense.issuperset(_places(r))]
+    refs = [r for r in by_bits if r.kind != "unique"]
+    distinct, orphans = _bitmap_counts(tables, list(dict.fromkeys(p for r in by_bits for p in _places(r))), refs)
+
+    known, parts = [], []
+    for r in rules:
+        if r.kind in ("not_null", "max_length"):
+            known.append((r, seen[(r,)]))
+        elif r in by_bits and r.kind == "unique" and distinct[r.table, r.column] == seen[r.table, r.column, "n"]:
+            known.append((r, 0))
+        elif r in by_bits and r.kind != "unique" and not orphans[r]:
+            known.append((r, seen[r.table, r.column, "nulls"] if r.kind == "lookup_miss" else 0))
+        else:
+            parts.append(_unique_rule(tables[r.table], r) if r.kind == "unique" else _reference_rule(tables, r))
+    if known:
+        spark = next(iter(tables.values())).sparkSession
+        parts.insert(0, spark.createDataFrame([(r.table, r.kind, r.column, n) for r, n in known],
+                                              "table_name string, rule string, column_name string, violations bigint"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

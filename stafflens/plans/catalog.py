@@ -329,10 +329,11 @@ def q23(spark, sf_dir):
 
 @register("q24_salary_percentiles")
 def q24(spark, sf_dir):
-    names = ["_p10", "_p25", "_p50", "_p75", "_p90"]
-    pb = stats.percentile_bands(_t(spark, sf_dir).staging(), ["Department"], "MonthlyIncome",
+    t, names = _t(spark, sf_dir), ["_p10", "_p25", "_p50", "_p75", "_p90"]
+    pb = stats.percentile_bands(t.staging(), ["Department"], "MonthlyIncome",
                                 [0.10, 0.25, 0.50, 0.75, 0.90], names,
-                                extra=[stats.m_mean("MonthlyIncome", 0).alias("avg_salary")])
+                                extra=[stats.m_mean("MonthlyIncome", 0).alias("avg_salary")],
+                                select=t.n_staging() > stats.MAX_VALUES)
     out = pb.select(
         "Department", fround("_p10", 0).alias("p10_salary"), fround("_p25", 0).alias("p25_salary"),
         fround("_p50", 0).alias("median_salary"), fround("_p75", 0).alias("p75_salary"),
@@ -376,9 +377,10 @@ def q27(spark, sf_dir):
 
 @register("q28_below_median")
 def q28(spark, sf_dir):
-    stg = _t(spark, sf_dir).staging().select("EmployeeNumber", "Department", "JobRole", "MonthlyIncome", "Attrition")
+    t = _t(spark, sf_dir)
+    stg = t.staging().select("EmployeeNumber", "Department", "JobRole", "MonthlyIncome", "Attrition")
     rows = stats.vs_group_median(stg, ["Department"], "MonthlyIncome", median_name="_median",
-                                 salt_from=["EmployeeNumber"])
+                                 salt_from=["EmployeeNumber"], select=t.n_staging() > stats.MAX_VALUES)
     x, med = F.col("MonthlyIncome"), F.col("_median")
     return rows.select(
         "EmployeeNumber", "Department", "JobRole", "MonthlyIncome",
@@ -635,6 +637,59 @@ def qb(spark, sf_dir):
     return out.orderBy(F.col("predicted").asc_nulls_last(), F.col("actual").asc_nulls_last())
 
 
+# =============================================================== the operators' further forms
+@register("pay_ratio_percentiles")
+def pay_ratio_percentiles(spark, sf_dir):
+    """W19 on a continuous measure (days of pay in a month's income), by selection."""
+    names = ["p10", "p25", "p50", "p75", "p90"]
+    stg = _t(spark, sf_dir).staging().select("Department", safe_div(F.col("MonthlyIncome").cast("double"), F.col("DailyRate").cast("double")).alias("_ratio"))
+    out = stats.percentile_bands(stg, ["Department"], "_ratio", [0.10, 0.25, 0.50, 0.75, 0.90], names,
+                                 extra=[F.count("_ratio").alias("employees")], select=True)
+    return out.select("Department", "employees", *[fround(n, 4).alias(n) for n in names]).orderBy(F.col("Department").asc_nulls_last())
+
+
+@register("hierarchy_problems")
+def hierarchy_problems(spark, sf_dir):
+    """W28 on a manager column with cycles and missing managers, derived from staging."""
+    n = F.col("EmployeeNumber")
+    boss = F.when(n % 97 != 0, (n * 31 + F.col("MonthlyIncome")) % 2003)
+    nodes = _t(spark, sf_dir).staging().select(n.alias("employee_id"), boss.cast("bigint").alias("manager_id"))
+    return hierarchy.hierarchy_problems(nodes).orderBy("node")
+
+
+@register("load_changes")
+def load_changes(spark, sf_dir):
+    """W04/W08 loaded twice: employees per kind of change between the two stored versions."""
+    from ..sources.versions import compare_rows
+    from .incremental import changed_twice
+    table = changed_twice(_t(spark, sf_dir))
+    kinds = compare_rows(table.read(1), table.read(2), "EmployeeNumber")
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("employees")).orderBy("kind")
+
+
+@register("load_key_registry")
+def load_key_registry(spark, sf_dir):
+    """W05 over two loads: keys of the first load stay, the second one's new employees follow on."""
+    from .incremental import keys_twice
+    return keys_twice(_t(spark, sf_dir)).read().orderBy("employee_key")
+
+
+@register("load_csv_folder")
+def load_csv_folder(spark, sf_dir):
+    """W01 over a folder whose files have different headers; every row is bound by its own file's names."""
+    from ..sources.fixtures import stored_path
+    from ..sources.ingest import ingest_csv
+    from ..sources.schemas import STAGING
+    t = _t(spark, sf_dir)
+
+    def write(path: str) -> None:
+        odd = F.col("EmployeeNumber") % 2 == 1
+        for name, part, columns in (("odd", t.staging().where(odd), STAGING.fieldNames()),
+                                    ("even", t.staging().where(~odd), STAGING.fieldNames()[::-1])):
+            part.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    return ingest_csv(spark, stored_path(t, "staging_csv_folder", write), STAGING).rows
+
+
 # =============================================================== headline
 @register("overall_rate")
 def overall(spark, sf_dir):

@@ -621,6 +621,43 @@ def _constraint_sql() -> str:
 
 ORACLE["constraint_report"] = _constraint_sql()
 
+_RATIO = "CAST(MonthlyIncome AS DOUBLE) / NULLIF(CAST(DailyRate AS DOUBLE), 0)"
+ORACLE["pay_ratio_percentiles"] = with_hr(
+    f"""SELECT Department, COUNT({_RATIO}) AS employees,
+""" + ",\n".join(f"  {R(f'PERCENTILE_CONT(0.{p}) WITHIN GROUP (ORDER BY {_RATIO})', 4)} AS p{p}" for p in (10, 25, 50, 75, 90))
+    + "\nFROM staging GROUP BY Department")
+
+ORACLE["hierarchy_problems"] = with_hr(
+    """SELECT n AS node, CASE WHEN loops THEN 'cycle' WHEN around IS NOT NULL THEN 'under_cycle' ELSE 'under_missing' END AS problem,
+  COALESCE(around, missing) AS cause
+FROM (
+  SELECT e.n, MAX(CASE WHEN r.a = e.n THEN 1 ELSE 0 END) = 1 AS loops, MIN(c.low) AS around,
+    MIN(CASE WHEN k.n IS NULL THEN r.a END) AS missing
+  FROM edge e JOIN reach r ON r.n = e.n LEFT JOIN edge k ON k.n = r.a LEFT JOIN ring c ON c.n = r.a GROUP BY e.n) x
+WHERE around IS NOT NULL OR missing IS NOT NULL""",
+    """edge AS (
+  SELECT EmployeeNumber AS n, CASE WHEN EmployeeNumber % 97 <> 0 THEN (EmployeeNumber * 31 + MonthlyIncome) % 2003 END AS up FROM staging),
+reach AS (
+  SELECT n, CAST(up AS BIGINT) AS a FROM edge WHERE up IS NOT NULL
+  UNION
+  SELECT reach.n, CAST(edge.up AS BIGINT) FROM reach JOIN edge ON edge.n = reach.a WHERE edge.up IS NOT NULL),
+ring AS (
+  SELECT x.n, MIN(y.a) AS low FROM reach x JOIN reach y ON y.n = x.n WHERE x.a = x.n GROUP BY x.n)""",
+    recursive=True)
+
+ORACLE["load_changes"] = with_hr(
+    """SELECT kind, COUNT(*) AS employees FROM (
+  SELECT CASE EmployeeNumber % 100 WHEN 3 THEN 'new' WHEN 2 THEN 'gone' ELSE
+    CASE WHEN EmployeeNumber % 100 = 1 AND MonthlyIncome IS NOT NULL THEN 'changed' ELSE 'same' END END AS kind
+  FROM staging) c GROUP BY kind""")
+
+ORACLE["load_key_registry"] = with_hr(
+    """SELECT EmployeeNumber AS employee_id,
+  ROW_NUMBER() OVER (ORDER BY CASE WHEN EmployeeNumber % 3 = 0 THEN 1 ELSE 0 END, EmployeeNumber) AS employee_key
+FROM staging""")
+
+ORACLE["load_csv_folder"] = ORACLE["load_staging"]
+
 
 def _profile_sql() -> str:
     from ..sources.schemas import STAGING

@@ -266,6 +266,10 @@ class HrTables:
     def staging(self) -> DataFrame:
         return self._get("staging", lambda: staging(self.spark, self.sf_dir))
 
+    def n_staging(self) -> int:
+        """Rows of staging, counted once for each state of the source."""
+        return _plan(self.spark, ("n_staging", self.sf_dir, self.signature), lambda: self.staging().count())
+
     def performance_fact(self) -> DataFrame:
         return self._get("performance_fact", lambda: performance_fact(self.spark, self.sf_dir))
 
@@ -294,7 +298,7 @@ class HrFrames(HrTables):
 
     @cached_property
     def signature(self) -> str:
-        return "given"
+        return self.sf_dir.replace(":", "-")
 
     def staging(self) -> DataFrame:
         return self._staging
