@@ -48,8 +48,8 @@ OUTPUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sh
 #: Pairs of ids (three numbers each) that are broadcast after a count; more are joined by shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: Characters that are merged at once, and parts whose tokens a worker remembers.
-_PIECE = 1 << 19
-_KNOWN = 800_000
+_PIECE = 1 << 18
+_KNOWN = 300_000
 _MARK = "▁"
 #: How byte-level vocabularies split a text before the merges, and the first character beyond Latin letters.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
