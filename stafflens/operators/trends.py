@@ -27,7 +27,7 @@ def monthly_counts(events: DataFrame, *, event_type: str, date_col: str = "event
 
 
 def rolling_event_trend(
-    events: DataFrame,
+    events: DataFrame | None,
     *,
     event_type: str,
     count_name: str,
@@ -36,15 +36,20 @@ def rolling_event_trend(
     change_name: str | None = None,
     month: str = "month",
     gap_fill: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Monthly counts with trailing sums / means over the last k **rows**.
 
     rolling_sums: (name, k); rolling_means: (name, k, digits); change_name: the
     difference to the previous row (NULL for the first). Months without
     events are absent unless ``gap_fill`` inserts them with count 0 (then k
-    rows are k calendar months).
+    rows are k calendar months). ``counts`` (month, count) may come in place of
+    the events, for instance kept per source file; they are added up by month.
     """
-    counts = monthly_counts(events, event_type=event_type, month=month, count_name=count_name)
+    if counts is None:
+        counts = monthly_counts(events, event_type=event_type, month=month, count_name=count_name)
+    else:
+        counts = counts.groupBy(month).agg(F.sum(count_name).cast("bigint").alias(count_name))
     if gap_fill:
         span = counts.agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
         months = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias(month))

@@ -674,6 +674,16 @@ def load_key_registry(spark, sf_dir):
     return keys_twice(_t(spark, sf_dir)).read().orderBy("employee_key")
 
 
+@register("q01_from_file_counts")
+def q01_from_file_counts(spark, sf_dir):
+    """W14 from month counts kept per file of orders; a new file is counted, the others are not read."""
+    from .incremental import exits_by_file
+    out = trends.rolling_event_trend(
+        None, event_type=V.EXIT_EVENT, count_name="attrition_count", counts=exits_by_file(_t(spark, sf_dir)),
+        rolling_sums=[("rolling_12m_attrition", 12)], rolling_means=[("rolling_12m_avg", 12, 1)])
+    return out.select("month", "attrition_count", "rolling_12m_attrition", "rolling_12m_avg").orderBy("month")
+
+
 @register("load_csv_folder")
 def load_csv_folder(spark, sf_dir):
     """W01 over a folder whose files have different headers; every row is bound by its own file's names."""

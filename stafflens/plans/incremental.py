@@ -14,8 +14,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.trends import monthly_counts
 from ..sources.fixtures import HrTables, stored_path
-from ..sources.versions import Load, VersionedTable, assign_keys, current_rows, load_changes
+from ..sources.versions import Load, VersionedTable, assign_keys, current_rows, load_by_file, load_changes
+from .fixed_values import EXIT_EVENT
 from .star import ATTRITION_MEASURES, EMPLOYEE, PERFORMANCE_MEASURES
 
 #: This process writes versioned tables under a name of its own.
@@ -75,3 +77,19 @@ def keys_twice(t: HrTables) -> VersionedTable:
         assign_keys(registry, ids.where("employee_id % 3 != 0"), ["employee_id"], "employee_key")
         assign_keys(registry, ids, ["employee_id"], "employee_key")
     return VersionedTable(t.spark, stored_path(t, f"keys_{_RUN}", write))
+
+
+def month_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Exits per month and file of rows of ``orders``."""
+    exits = rows.where(F.col("o_orderstatus") == "F")
+    return exits.groupBy(key, F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).alias("attrition_count"))
+
+
+def exits_by_file(t: HrTables) -> DataFrame:
+    """(month, attrition_count), a row for each month and file of the source's orders; a source
+    given as frames has no files and is counted whole."""
+    if not t.materialize:
+        return monthly_counts(t.retention_fact(), event_type=EXIT_EVENT, count_name="attrition_count")
+    table = VersionedTable(t.spark, stored_path(t, f"exits_{_RUN}", lambda path: None))
+    load_by_file(table, f"{t.sf_dir.rstrip('/')}/orders.parquet", lambda files: t.spark.read.parquet(*files), month_counts)
+    return table.read().select("month", "attrition_count")

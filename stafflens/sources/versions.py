@@ -1,4 +1,4 @@
-"""Tables that readers never see half written: replace, append and load of changes only.
+"""Tables that readers never see half written: replace, append, load of changes and by file.
 
 A table is a folder with data folders and commits. A write goes to a data folder
 of its own name, is counted while it is written, read back and compared; then
@@ -16,6 +16,9 @@ digests of the stored and of the new snapshot by a full outer join of (key,
 digest) and writes only the buckets that hold a new, changed or gone key; the
 commit names the other buckets' old folders.
 
+``load_by_file`` keeps a reduction of every source file under the file's digest;
+only new and replaced files are read again.
+
 ``assign_keys`` keeps a registry of surrogate keys: a natural key that it holds
 keeps its number over all loads, new ones get the next numbers in their order.
 
@@ -25,9 +28,10 @@ file systems.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -36,6 +40,7 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import with_surrogate_key
 from ..session import ensure_checkpoint_dir
+from .ingest import data_files
 from .sinks import conform
 
 BUCKET, DIGEST = "_bucket", "_digest"
@@ -128,9 +133,9 @@ class VersionedTable:
         found = self.commit_of(version)
         if found is None:
             raise ValueError(f"{self.root} has no committed version")
-        if not found.parts:
+        if not any(found.parts.values()):
             return self.spark.createDataFrame([], found.schema)
-        paths = sorted({f"{self.root}/{p}" for p in found.parts.values()})
+        paths = sorted({f"{self.root}/{p}" for p in found.parts.values() if p})
         return self.spark.read.schema(found.schema).parquet(*paths)
 
     def replace(self, df: DataFrame, schema: T.StructType | None = None) -> int:
@@ -156,7 +161,7 @@ class VersionedTable:
         known = self.versions()
         for version in known[: -self.keep]:
             self._fs.delete(self._path(f"_commits/{version:010d}"), False)
-        named = {p.split("/")[0] for v in known[-self.keep:] for p in self.commit_of(v).parts.values()}
+        named = {p.split("/")[0] for v in known[-self.keep:] for p in self.commit_of(v).parts.values() if p}
         gone = [n for n in self._names("") if n.startswith("data-") and n not in named]
         for name in gone:
             self._fs.delete(self._path(name), True)
@@ -230,6 +235,56 @@ def current_rows(table: VersionedTable) -> DataFrame:
     return table.read().drop(BUCKET, DIGEST)
 
 
+# --------------------------------------------------------------------------- results kept per source file
+FILE_KEY = "_file"
+
+
+def file_keys(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
+    """Every data file under ``path`` → its URI, and a digest of URI, size and time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for file in data_files(spark, path):
+        where = jvm.org.apache.hadoop.fs.Path(file)
+        status = where.getFileSystem(conf).getFileStatus(where)
+        uri = where.toUri().toString()
+        out[file] = (uri, hashlib.sha1(f"{uri}:{status.getLen()}:{status.getModificationTime()}".encode()).hexdigest())
+    return out
+
+
+def load_by_file(table: VersionedTable, path: str, read: Callable[[list[str]], DataFrame],
+                 build: Callable[[DataFrame, str], DataFrame]) -> list[str]:
+    """Makes ``table`` hold ``build`` of every file under ``path``; only files that it does not yet
+    know are read. Returns those.
+
+    ``read`` opens files by their names; ``build(rows, key)`` reduces rows to some
+    for each value of the column ``key`` (the file) and must keep it. A replaced
+    file has another digest, so its old rows leave with it, as those of deleted
+    files do. The driver's work grows with the number of files.
+    """
+    spark, before = table.spark, table.commit_of()
+    now = file_keys(spark, path)
+    old = before.parts if before else {}
+    # A file without rows has no folder; an empty name marks it as read.
+    fresh = {file: (uri, key) for file, (uri, key) in now.items() if key not in old}
+    kept = {key: old[key] for _, key in now.values() if key in old}
+    schema, parts = before.schema if before else None, {}
+    if fresh:
+        names = spark.createDataFrame(list(fresh.values()), "_uri string, _key string")
+        rows = read(sorted(fresh))
+        uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/")
+        rows = rows.select("*", uri.alias("_at")).join(F.broadcast(names) if len(fresh) < 10_000 else names, F.col("_at") == F.col("_uri"))
+        out = build(rows.drop("_at", "_uri").withColumnRenamed("_key", FILE_KEY), FILE_KEY)
+        schema = out.schema
+        part = table._written(out.withColumn("_folder", F.col(FILE_KEY)), ["_folder"])
+        full = {n.split("=")[1] for n in table._names(part) if n.startswith("_folder=")}
+        parts = {key: f"{part}/_folder={key}" if key in full else "" for _, key in fresh.values()}
+    if before is None and not fresh:
+        raise ValueError(f"no data file under {path}")
+    if kept | parts != old:
+        table._commit(before, schema, kept | parts)
+    return sorted(fresh)
+
+
 # --------------------------------------------------------------------------- key registry
 def assign_keys(registry: VersionedTable, df: DataFrame, natural: Sequence[str], key_name: str) -> DataFrame:
     """``df`` with the surrogate key of its ``natural`` columns, registered for good.

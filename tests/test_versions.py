@@ -143,3 +143,31 @@ def test_registry_survives_a_crash(spark, tmp_path, monkeypatch):
             assign_keys(r, df, ["k"], "id")
     want = {k: i + 1 for i, k in enumerate([*range(0, 40, 2), *range(1, 40, 2)])}
     assert {x["k"]: x["id"] for x in assign_keys(r, df, ["k"], "id").collect()} == want
+
+
+def test_only_new_and_replaced_files_are_read(spark, tmp_path):
+    src, t = f"{tmp_path}/src", VersionedTable(spark, f"{tmp_path}/counts")
+    put = lambda name, *values: spark.createDataFrame([(v,) for v in values], "x int").coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+    read_files = []
+
+    def read(files):
+        read_files.append(len(files))
+        return spark.read.parquet(*files)
+
+    build = lambda rows, key: rows.where("x > 0").groupBy(key, "x").agg(F.count(F.lit(1)).alias("n"))
+    load = lambda: len(versions.load_by_file(t, src, read, build))
+    counts = lambda: dict(t.read().groupBy("x").agg(F.sum("n")).collect())
+    put("a b", 1, 1, 2)
+    put("b", 2)
+    put("none", -1)
+    assert load() == 3 and counts() == {1: 2, 2: 2}
+    assert load() == 0 and read_files == [3] and t.versions() == [1]
+    put("c", 3, 3, 3)
+    assert load() == 1 and counts() == {1: 2, 2: 2, 3: 3}
+    put("b", 1)  # replaced
+    assert load() == 1 and counts() == {1: 3, 2: 1, 3: 3}
+    (tmp_path / "kept").mkdir()
+    import os
+    for f in os.listdir(f"{src}/c"):
+        os.rename(f"{src}/c/{f}", f"{tmp_path}/kept/{f}")
+    assert load() == 0 and counts() == {1: 3, 2: 1} and read_files == [3, 1, 1]
