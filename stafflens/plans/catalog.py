@@ -674,8 +674,8 @@ def load_key_registry(spark, sf_dir):
     return keys_twice(_t(spark, sf_dir)).read().orderBy("employee_key")
 
 
-@register("q01_from_file_counts")
-def q01_from_file_counts(spark, sf_dir):
+@register("exits_trend_by_file")
+def exits_trend_by_file(spark, sf_dir):
     """W14 from month counts kept per file of orders; a new file is counted, the others are not read."""
     from .incremental import exits_by_file
     out = trends.rolling_event_trend(

@@ -667,4 +667,4 @@ def _profile_sql() -> str:
 
 
 ORACLE["profile"] = _profile_sql()
-ORACLE["q01_from_file_counts"] = ORACLE["q01_monthly_exits_rolling"]
+ORACLE["exits_trend_by_file"] = ORACLE["q01_monthly_exits_rolling"]
