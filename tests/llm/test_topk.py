@@ -64,3 +64,39 @@ def test_bounds_hold_and_prune_rightly(n):
     ids = np.arange(n)
     for j, found in enumerate(lists.top(queries, 10, ids, np.full(5, -1))):
         assert found == sorted(((i, int(exact[i, j])) for i in ids), key=lambda x: (-x[1], x[0]))[:10]
+
+
+def test_components_and_scores_of_any_size(spark):
+    """Finite components beyond 2^53 and scores beyond a long: whole numbers, held at the ends."""
+    rng = random.Random(9)
+    ends = (-(1 << 63), (1 << 63) - 1)
+
+    def held(x):
+        return min(max(x, ends[0]), ends[1])
+
+    def plain(rows):
+        some = [(i, [held(int(np.floor(1024.0 * x))) for x in v]) for i, v in rows]
+        out = []
+        for q, x in some:
+            if q % 100 == 0:
+                scores = sorted((-held(sum(a * b for a, b in zip(x, y))), i) for i, y in some if i != q)[:10]
+                out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+        return sorted(out)
+
+    for size in (2.0**17, 2.0**20, 2.0**30, 1e300):
+        rows = [(i, [rng.choice([-1, 1]) * rng.random() * size for _ in range(5)]) for i in range(400)]
+        rows += [(1000 + i, [size, size, 1.0 + i / 1024, 0.5, size]) for i in range(40)]  # near ties
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        for block in (64, 4096):
+            got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, block_rows=block).collect())
+            assert got == plain(rows), size
+
+
+def test_lists_are_read_until_outsiders_cannot_qualify():
+    rng = np.random.default_rng(3)
+    vectors = np.zeros((2000, 4), dtype=np.int64)
+    vectors[:, 0] = rng.permutation(2000)  # one list decides: a quarter of it is enough
+    lists = topk.SortedLists(vectors)
+    found = lists.top(np.array([[5, 0, 0, 0]]), 10, np.arange(2000), np.array([-1]))
+    assert [score for _, score in found[0]] == [5 * x for x in range(1999, 1989, -1)]
+    assert lists.entries == [500, 2000]
