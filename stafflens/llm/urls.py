@@ -63,7 +63,7 @@ def _checked(rules: Iterable[tuple[str, str]]) -> dict[str, str]:
 
 
 def pack_index(rules: dict[str, str]) -> np.ndarray:
-    """One array of bytes: counts, sorted digests, places, verdicts, string offsets, path lengths, strings."""
+    """One array of bytes: counts and largest host, sorted digests, places, verdicts, string offsets, path lengths, strings."""
     texts = sorted(rules)
     raw = [t.encode() for t in texts]
     keys = np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), dtype=np.uint64, count=len(raw))
@@ -71,7 +71,9 @@ def pack_index(rules: dict[str, str]) -> np.ndarray:
     lengths = np.unique([len(t) - t.index("/") for t in texts]).astype(np.int64)
     offsets = np.cumsum([0, *map(len, raw)]).astype(np.int64)
     verdicts = np.array([rules[t] == BLOCK for t in texts], dtype=np.int64)
-    head = np.array([len(raw), len(lengths)], dtype=np.int64)
+    hosts = [t[: t.index("/")] for t in texts]
+    labels, longest = max((h.count(".") + 1 for h in hosts), default=0), max(map(len, hosts), default=0)
+    head = np.array([len(raw), len(lengths), labels, longest], dtype=np.int64)
     parts = [head, keys[order], order.astype(np.int64), verdicts, offsets, lengths, np.frombuffer(b"".join(raw), dtype=np.uint8)]
     return np.concatenate([p.view(np.uint8) for p in parts])
 
@@ -81,8 +83,8 @@ class DigestArray:
 
     def __init__(self, path: str):
         data = np.memmap(path, dtype=np.uint8, mode="r")
-        n, n_lengths = data[:16].view(np.int64)
-        at = 16
+        n, n_lengths, self.labels, self.longest = data[:32].view(np.int64).tolist()
+        at = 32
 
         def take(count: int, kind) -> np.ndarray:
             nonlocal at
@@ -140,14 +142,17 @@ def build_index(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     return name
 
 
-def _probes(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Strings that a fitting rule must equal, longest first."""
-    if not host:
-        return []
-    hosts = [host]
-    while "." in hosts[-1]:
-        hosts.append(hosts[-1].split(".", 1)[1])
-    found = [(len(h) + n, len(h), h + path[:n]) for n in lengths if n <= len(path) for h in hosts if h]
+def _probes(host: str, path: str, lengths: list[int], labels: int, longest: int) -> list[bytes]:
+    """Strings that a fitting rule must equal, longest first.
+
+    Of the host only endings of at most ``labels`` labels and ``longest`` characters are
+    tried: no rule has a larger one, so a host of any size costs what the rules cost.
+    """
+    hosts, at = [], len(host)
+    while at >= 0 and len(hosts) < labels and len(host) - at <= longest:
+        at = host.rfind(".", 0, at)
+        hosts.append(host[at + 1 :])
+    found = [(len(h) + n, len(h), h + path[:n]) for n in lengths if n <= len(path) for h in hosts if h and len(h) <= longest]
     return [p.encode() for _, _, p in sorted(found, reverse=True)]
 
 
@@ -160,7 +165,7 @@ def judge(pages: DataFrame, index: str, key: str = "page_id", url: str = "url",
         for batch in batches:
             probes, owner = [], []
             for i, (host, path) in enumerate(zip(batch["host"], batch["path"])):
-                own = _probes(host, path, array.lengths)
+                own = _probes(host, path, array.lengths, array.labels, array.longest)
                 probes += own
                 owner += [i] * len(own)
             place = array.find(probes)
@@ -181,16 +186,18 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
     Each url's probes are exploded with the position of its row; the digest is the join key
     and the full string is compared, and the best rule of a row is a partial maximum.
     """
-    parts = rules.select(F.col("rule"), F.col("verdict"), (F.length("rule") - F.instr("rule", "/") + 1).alias("n"))
-    one = parts.groupBy("rule", "n").agg(F.max("verdict").alias("verdict"))
-    lengths = F.array(*(F.lit(r[0]) for r in one.select("n").distinct().orderBy("n").collect()))  # a few dozen lengths
+    one = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    shapes = one.select(F.substring_index("rule", "/", 1).alias("h"), (F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct()
+    most, longest = shapes.agg(F.max(F.size(F.split("h", r"\."))), F.max(F.length("h"))).first()  # the largest host of a rule
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    probes = urls.where("host != ''").select("host", "path", F.explode(hosts).alias("h")).where("h != ''").select("host", "path", "h", F.explode(heads).alias("p"))
-    probes = probes.select("host", "path", F.concat("h", "p").alias("rule"), F.length("h").alias("h"))
+    labels = F.least(F.size(F.split("host", r"\.")), F.lit(most or 1))
+    end = F.right("host", F.lit((longest or 0) + 1))  # one character more: a cut host is longer than any rule's
+    ends = urls.where("host != ''").select("host", "path", end.alias("end"), labels.alias("labels"))
+    hosts = F.expr("array_distinct(transform(sequence(1, labels), i -> substring_index(end, '.', -i)))")
+    probes = ends.select("host", "path", F.explode(hosts).alias("h")).where("h != ''")
+    probes = probes.join(shapes, "h").where(F.col("n") <= F.length("path"))
+    probes = probes.select("host", "path", F.concat("h", F.substr(F.col("path"), F.lit(1), F.col("n"))).alias("rule"), F.length("h").alias("h"))
     best = probes.join(one, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("h"))).alias("b"))
     out = rows.join(best, ["host", "path"], "left")
     return out.select(key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

@@ -62,3 +62,15 @@ def test_rules_are_checked(spark):
         with pytest.raises(ValueError):
             urls.build_index(spark, bad)
     assert urls.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), urls.build_index(spark, [])).collect()[0].verdict == "allow"
+
+
+def test_hosts_of_any_size_cost_what_the_rules_cost(spark):
+    hosts = ["a." * 50_000 + "example.org", "b" * 100_000 + ".example.org", "." * 100_000 + "a.com", "c" * 100_000, "example.org" + "." * 1000]
+    rows = [(i, f"http://{h}/x/es/") for i, h in enumerate(hosts)] + [(9, "http://www.a.com/xy")]
+    assert max(len(urls._probes(h, "/x/es/", [1, 3, 5], 2, 11)) for h in hosts) <= 6
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = {i: _plain(u)[2:] for i, u in rows}
+    table = spark.createDataFrame([(rule, verdict) for verdict, rule in RULES], "rule string, verdict string")
+    for out in (urls.judge(df, urls.build_index(spark, RULES)), urls.judge_by_join(df, table)):
+        assert {r.page_id: (r.rule, r.verdict) for r in out.collect()} == want
+    assert urls.judge_by_join(df, table.limit(0)).where("rule is null and verdict = 'allow'").count() == len(rows)
