@@ -165,7 +165,9 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", length: str | N
     ``length`` names a column of token counts; else the words of ``text`` are counted.
     """
     size = F.size(words(F.col(text))) if length is None else F.coalesce(F.col(length), F.lit(0))
-    lengths = df.select(F.col(key).cast("long").alias("doc_id"), size.cast("long").alias("n"))
+    doc_id = F.col(key).cast("long")
+    # Null ids travel as zeros and a mark: pandas would turn a column of longs with nulls into doubles.
+    lengths = df.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNull().alias("id_is_null"), size.cast("long").alias("n"))
     groups = max(1, -(-df.count() // group_rows))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,10 +175,10 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", length: str | N
         if not rows:
             return
         rows = pd.concat(rows, ignore_index=True)
-        ids = rows["doc_id"].fillna(-(1 << 62)).to_numpy(dtype=np.int64)
+        ids = rows["doc_id"].to_numpy(dtype=np.int64)
         out = pack_lengths(ids, rows["n"].to_numpy(dtype=np.int64), TaskContext.get().partitionId(), capacities)
-        doc = pd.Series(ids[out.pop("row").to_numpy()], dtype="Int64")
-        out.insert(0, "doc_id", doc.where(doc != -(1 << 62)))
+        at = out.pop("row").to_numpy()
+        out.insert(0, "doc_id", pd.Series(ids[at], dtype="Int64").mask(rows["id_is_null"].to_numpy(dtype=bool)[at]))
         for at in range(0, len(out), 100_000):
             yield out.iloc[at : at + 100_000]
 

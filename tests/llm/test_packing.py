@@ -64,3 +64,9 @@ def test_fill_and_length_column(spark):
 def test_single_item_gets_the_smallest_length(n):
     out = packing.pack_lengths(np.array([1]), np.array([n]), 0)
     assert out.capacity.tolist() == [min(c for c in packing.CAPACITIES if c >= n)]
+
+
+def test_any_id_comes_back(spark):
+    ids = [-(1 << 62), (1 << 63) - 1, -(1 << 63), 0, None]
+    df = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in packing.pack(df).collect()) == sorted((i is None, i or 0) for i in ids)
