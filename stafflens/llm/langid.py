@@ -48,6 +48,13 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
+def _has_letter(grams: np.ndarray) -> bool:
+    """Whether one of the n-gram codes is a single letter; marks alone are none."""
+    import unicodedata
+
+    return any(unicodedata.category(chr(c))[0] == "L" for c in grams[grams < 1 << 62].tolist())
+
+
 _LETTER: np.ndarray | None = None
 
 
@@ -162,7 +169,7 @@ class Profiles:
         if not self.names or not isinstance(text, str):
             return UNKNOWN, 0.0
         codes, counts = count_grams(text)
-        if not len(codes):
+        if not _has_letter(codes):
             return UNKNOWN, 0.0
         own = ranked(codes, counts, self.size)
         at = np.searchsorted(self.codes, own)

@@ -68,3 +68,10 @@ def test_held_out_accuracy(spark):
     n, right = held.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 100 and right >= 0.98 * n
     assert rows.where("score < 0 or score > 1").count() == 0 and isinstance(np.float64(1), float)
+
+
+def test_marks_alone_are_no_letters(spark):
+    rows = [(1, "the cat", "en"), (2, "́́ ̂", None), (3, "é", None), (4, "12 ⃝", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(df.where("lang is not null"))
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df, profiles).collect()} == {1: "en", 2: "und", 3: "en", 4: "und"}
