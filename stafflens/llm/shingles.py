@@ -3,24 +3,27 @@
 A word is a maximal run of bytes other than space and U+0009 to U+000D, with
 A-Z in lower case. A text's set holds a key for each distinct run of five
 words; a text of one to four words has one key for all of them; a text without
-words has none. Keys are 64-bit digests: two different shingles share one with
-a probability of 2^-64.
+words has none. A word's key is its xxhash64 with a fixed seed, and a shingle's
+mixes those of its words: two different shingles share one with a probability of
+2^-64. (A polynomial modulo 2^64 would not do: words of a doubling pattern collide
+under every base.)
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import xxhash
 
 SHINGLE = 5
+_SEED = 20240501
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _CHUNK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _LENGTH = _rng.integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = []
 
 
@@ -48,16 +51,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _word_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words of the texts in order, and the number of words of each text."""
-    data = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
-    power, inverse = _tables(len(data) + 1)
-    blank = _SPACE[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # starts and ends alternate: the data begin and end blank
-    start, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    keys = mixed((total[end] - total[start]) * inverse[start])
-    bounds = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    return keys, np.diff(np.searchsorted(start, bounds))
+    keys = [_text_keys(r.lower()) for r in raw]  # bytes.lower() changes A-Z only
+    return np.concatenate([np.empty(0, dtype=np.uint64), *keys]), np.array([len(k) for k in keys], dtype=np.int64)
+
+
+def _text_keys(text: bytes) -> np.ndarray:
+    # bytes.split() parts at the same six bytes as _WORD; a long text's words are not held all at once.
+    found = text.split() if len(text) <= _CHUNK else (m.group() for m in _WORD.finditer(text))
+    return np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in found), dtype=np.uint64)
 
 
 def _groups(texts: list[bytes]):

@@ -77,3 +77,20 @@ def test_shingle_sets_equal_sets_of_tuples():
         assert len(s) == len(plain.shingles(t)) and (s[1:] > s[:-1]).all()
     a, b = S.shingle_sets([texts[0], (texts[0] or "x").upper()])
     assert len(a) == len(b)
+
+
+def test_words_made_to_collide_are_different(spark):
+    """Words of a doubling pattern and their complements collide in every polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.components_of_documents(df).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+    assert not set(S.shingle_sets([word])[0].tolist()) & set(S.shingle_sets([other])[0].tolist())
+
+
+def test_long_texts_have_the_keys_of_short_ones(monkeypatch):
+    text = " \x0b".join(f"W{i % 977}é" for i in range(3000))
+    want = S.shingle_sets([text])[0].tolist()
+    monkeypatch.setattr(S, "_CHUNK", 100)
+    assert S.shingle_sets(["x", text, None])[1].tolist() == want
