@@ -1,12 +1,19 @@
 """Format-preserving pseudonyms for personal data (native expressions only).
 
-E-mail addresses, IPv4 addresses, phone numbers, card numbers (Luhn), social
-security numbers and calendar dates are found in the whole text, validated, and
+E-mail addresses, IPv4 and IPv6 addresses, phone numbers (ten digits in the North
+American grouping, or with a country code: 8 to 15 digits), card numbers (Luhn), bank
+accounts (IBAN, modulo 97), social security numbers and calendar dates are found in the whole text, validated, and
 replaced by a keyed permutation of their own format: a Feistel network over the
 two halves of the value. The permutation depends on the key and the kind only,
 so equal values stay equal in all documents, different ones stay different, and
 the pseudonym is itself valid (a card passes Luhn, a date exists). Of an e-mail
-address the part before the @ is permuted.
+address the part before the @ is permuted and the domain stays, of a phone number the
+country code and of an account the country; a date moves within its 400 years. An IPv6
+address is permuted in its two halves of 64 bits and spelled in full groups, so all
+spellings of one address stay one; those of fewer than three groups are left.
+
+A key given as a string is a literal of the plan, which ``explain`` and event logs show.
+``secret`` reads it from a file instead: plans then name the file and not the key.
 
 The text is split at the matches, the matches are mapped by higher-order
 functions, and both are put together again; nothing leaves the row. Candidates
@@ -15,32 +22,41 @@ stay as they are.
 
 Defined results: a null text stays null with counts 0; empty texts and texts
 without matches are unchanged; repeated rows give equal rows; an empty table
-gives an empty table; other columns pass through untouched.
+gives an empty table; other columns pass through untouched, but for one named as a
+count where counts are asked for, which the count replaces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stafflens.llm.common import let
 
 ROUNDS = 10
-KINDS = ("email", "ip", "phone", "ssn", "date", "card")
+KINDS = ("email", "ip", "phone", "ssn", "date", "card", "iban", "ip6")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
 _ISO, _US = r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}"
 _PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+#: A country code and groups of digits, or both in one.
+_ABROAD = r"\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,6}|\+[1-9]\d{7,14}"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?"
 #: One pass finds all kinds; the guards keep a match from starting or ending inside a longer number.
 PATTERN = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     rf"(?<![\d.]){_IP}(?!\.?\d)",
     rf"(?<![\d+]){_PHONE}(?!\d)",
+    rf"(?<![\w+])(?:{_ABROAD})(?!\d)",
+    rf"(?<![A-Za-z0-9]){_IBAN}(?![A-Za-z0-9])",
+    rf"(?<![\w:.])(?:{_IP6})(?![\w:])",
     rf"(?<![\d-]){_SSN}(?![\d-])",
     rf"(?<![\d/-])(?:{_ISO}|{_US})(?![\d/-])",
-    r"(?<![\d-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?![\d-])",
+    r"(?<![\d-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3[47]\d{2}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])",
 ))
 #: 1600-01-01 as days since 1970, and the days after which the calendar repeats.
 _EPOCH, _CYCLE = -135140, 146097
@@ -50,11 +66,16 @@ def _long(x) -> Column:
     return (F.lit(x) if isinstance(x, int) else x).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def secret(spark: SparkSession, path: str) -> Column:
+    """The text of the file at ``path`` without outer blanks, as a key: a subquery whose value no plan shows."""
+    return spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", r"\s+$", ""))).scalar()
+
+
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, kind: str) -> Column:
     """Struct (l, r): a keyed permutation of the pairs with 0 <= l < a, 0 <= r < b."""
 
     def f(i: Column, half: Column) -> Column:
-        digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string"), a.cast("string"), b.cast("string")), 256)
+        digest = F.sha2(F.concat_ws(":", key, F.lit(kind), i.cast("string"), half.cast("string"), a.cast("string"), b.cast("string")), 256)
         return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
     def step(x: Column, i: Column) -> Column:
@@ -99,7 +120,7 @@ def _spelled(n: Column, shape: Column) -> Column:
     return F.aggregate(F.reverse(_chars(shape)), F.struct(_long(n).alias("n"), F.lit("").alias("s")), step)["s"]
 
 
-def permuted(s: Column, key: str, kind: str) -> Column:
+def permuted(s: Column, key: Column, kind: str) -> Column:
     """Permute lower-case letters and digits of ``s`` among strings of the same shape.
 
     The two halves of up to 10 characters each are numbers in mixed radix;
@@ -163,17 +184,20 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(f"^{_SSN}$"), F.lit("ssn"))
         .when(m.rlike(f"^(?:{_ISO}|{_US})$"), F.when(_date(m).isNotNull(), F.lit("date")))
         .when(m.rlike(f"^{_PHONE}$"), F.lit("phone"))
+        .when(m.rlike(r"^\+"), F.when(F.length(_digits(m)).between(8, 15), F.lit("phone")))
+        .when(m.rlike(f"^{_IBAN}$"), F.when(_mod97(F.concat(F.substr(_compact(m), F.lit(5)), F.substr(_compact(m), F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
+        .when(F.contains(m, F.lit(":")), F.when((F.size(F.filter(F.split(m, ":"), lambda g: g != "")) >= 3) & m.rlike("[0-9]"), F.lit("ip6")))
         .when(_luhn(_digits(m), False) % 10 == 0, F.lit("card"))
     )
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Column) -> Column:
     local = F.substring_index(m, "@", 1)
     plain = F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", ""))
     return let(permuted(plain, key, "email"), lambda p: F.concat(_refill(local, p), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     def moved(o: Column) -> Column:
         return feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], _long(65536), _long(65536), key, "ip")
 
@@ -184,17 +208,64 @@ def _ip(m: Column, key: str) -> Column:
     return let(let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), moved), dotted)
 
 
-def _phone(m: Column, key: str) -> Column:
-    """The ten national digits are permuted; a country code stays."""
+def _phone(m: Column, key: Column) -> Column:
+    """The national digits are permuted; a country code stays (of a number in one group, its first two digits)."""
 
     def filled(d: Column) -> Column:
-        national = permuted(F.substr(d, F.length(d) - 9), key, "phone")
-        return let(national, lambda n: _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), n)))
+        code = F.when(m.rlike(f"^{_PHONE}$"), F.length(d) - 10).when(m.rlike(r"^\+\d+$"), F.lit(2)).otherwise(F.length(F.regexp_extract(m, r"^\+(\d+)", 1)))
+        return let(code, lambda c: let(permuted(F.substr(d, c + 1), key, "phone"), lambda n: _refill(m, F.concat(F.substr(d, F.lit(1), c), n))))
 
     return let(_digits(m), filled)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _compact(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
+def _mod97(s: Column) -> Column:
+    """Remainder of the number that digits and capitals (A is 10) spell."""
+
+    def step(n: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), n * 10 + _value(c)).otherwise(n * 100 + 10 + _value(F.lower(c))) % 97
+
+    return F.aggregate(_chars(s), _long(0), lambda n, c: step(n, c).cast("long"))
+
+
+def _iban(m: Column, key: Column) -> Column:
+    """The account is permuted, the country stays, the check digits follow."""
+
+    def checked(p: Column, country: Column) -> Column:
+        check = 98 - _mod97(F.concat(p, country, F.lit("00")))
+        return _refill(m, F.concat(country, F.lpad(check.cast("string"), 2, "0"), p))
+
+    def moved(c: Column) -> Column:
+        return let(F.upper(permuted(F.lower(F.substr(c, F.lit(5))), key, "iban")), lambda p: checked(p, F.substr(c, F.lit(1), F.lit(2))))
+
+    return let(_compact(m), moved)
+
+
+def _ip6(m: Column, key: Column) -> Column:
+    def groups(part: Column) -> Column:
+        return F.transform(F.array_remove(F.split(part, ":"), ""), lambda g: F.conv(g, 16, 10).cast("long"))
+
+    def whole(ends: Column) -> Column:
+        zeros = F.array_repeat(_long(0), 8 - F.size(ends["l"]) - F.size(ends["r"]))
+        return F.concat(ends["l"], zeros, ends["r"])
+
+    def half(g: Column, at: int) -> Column:
+        size = _long(1 << 32)
+        return feistel(g[at] * 65536 + g[at + 1], g[at + 2] * 65536 + g[at + 3], size, size, key, "ip6" if at else "ip6-net")
+
+    def spelled(x: Column) -> Column:
+        pairs = [x[side][part] for side in ("net", "host") for part in ("l", "r")]
+        four = lambda n: F.lower(F.hex(n))
+        return F.concat_ws(":", *(four(y) for p in pairs for y in (F.shiftright(p, 16), p.bitwiseAND(F.lit(65535).cast("long")))))
+
+    ends = F.struct(groups(F.substring_index(m, "::", 1)).alias("l"), groups(F.when(F.contains(m, F.lit("::")), F.substring_index(m, "::", -1)).otherwise(F.lit(""))).alias("r"))
+    return let(let(let(ends, whole), lambda g: F.struct(half(g, 0).alias("net"), half(g, 4).alias("host"))), spelled)
+
+
+def _ssn(m: Column, key: Column) -> Column:
     # Areas 001 to 899 without 666 (898 values), groups 01 to 99, serials 0001 to 9999.
     def moved(p: Column) -> Column:
         area = p[0] - F.when(p[0] > 666, 2).otherwise(1)
@@ -208,7 +279,7 @@ def _ssn(m: Column, key: str) -> Column:
     return let(let(F.transform(F.split(m, "-"), lambda x: x.cast("long")), moved), spell)
 
 
-def _day(m: Column, key: str) -> Column:
+def _day(m: Column, key: Column) -> Column:
     """Permute the days within their 400 years, after which the calendar repeats (27 * 5411 days)."""
 
     def moved(since: Column) -> Column:
@@ -220,7 +291,7 @@ def _day(m: Column, key: str) -> Column:
     return let(day, lambda d: F.when(m.rlike(f"^{_ISO}$"), F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "MM/dd/yyyy")))
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     """All digits but the last are permuted; the last is the check digit."""
 
     def checked(p: Column) -> Column:
@@ -230,17 +301,21 @@ def _card(m: Column, key: str) -> Column:
     return let(permuted(payload, key, "card"), checked)
 
 
-_MAKE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _day, "card": _card}
+_MAKE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _day, "card": _card, "iban": _iban, "ip6": _ip6}
 
 
 def _is(kind: str):
     return lambda k: k == kind
 
 
-def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: bool = False) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str | Column, text: str = "text", counts: bool = False) -> DataFrame:
     """``df`` with ``text`` pseudonymised; ``counts`` adds n_<kind> (long) for each kind."""
     t = F.col(text)
     rows = df.select(F.struct(*df.columns).alias("__doc"), t.alias("__t"))
+    if isinstance(key, str):
+        key = F.lit(key)
+    else:
+        rows, key = rows.withColumn("__key", key), F.col("__key")
     # Most texts have neither a digit nor an @: the long pattern is tried on the others only.
     some = F.coalesce(F.col("__t").rlike("[0-9@]"), F.lit(False))
     none = F.array().cast("array<string>")
@@ -256,7 +331,8 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: bool = Fal
     pieces = F.split("__t", PATTERN, -1)
     parts = F.zip_with(pieces, F.transform("__m", pseudonym), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     new = F.when(F.size("__m") > 0, F.array_join(parts, "")).otherwise(F.col("__t"))
-    out = [new.alias(c) if c == text else F.col("__doc").getField(c).alias(c) for c in df.columns]
+    added = {f"n_{k}" for k in KINDS} if counts else set()
+    out = [new.alias(c) if c == text else F.col("__doc").getField(c).alias(c) for c in df.columns if c not in added]
     if counts:
         out += [F.size(F.filter(F.transform("__m", lambda x: x["k"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(*out)

@@ -108,3 +108,41 @@ def test_permutation_has_no_collisions(spark):
     df = spark.createDataFrame([(i, f"{i % 256}.{i // 256}.0.1 u{i}@x.org") for i in range(3000)], "doc_id long, text string")
     rows = [r.text for r in pii.pseudonymise(df, KEY).collect()]
     assert len({r.split(" ")[0] for r in rows}) == 3000 and len({r.split(" ")[1] for r in rows}) == 3000
+
+
+def test_more_formats_match_the_plain_version(spark, tmp_path):
+    rows = _run(spark, [
+        "card 3782 822463 10005.", "tel +33 1 23 45 67 89 or +33123456789", "pay GB82 WEST 1234 5698 7654 32 now", "DE89370400440532013000",
+        "from 2001:db8::8a2e:370:7334 and 2001:0DB8:0:0:0:8a2e:0370:7334", "std::vector at 10:20:30, ::1, a::b, GB82 WEST 1234 5698 7654 33, +1 23",
+    ])
+    payload = _permuted("37828224631000", "card")
+    check = next(str(c) for c in range(10) if _luhn(payload + str(c)) == 0)
+    assert rows[0]["text"] == "card " + _fill("3782 822463 10005", payload + check) + "." and rows[0]["n_card"] == 1
+    phone = _permuted("123456789", "phone")
+    assert rows[1]["text"] == "tel " + _fill("+33 1 23 45 67 89", "33" + phone) + " or +33" + phone and rows[1]["n_phone"] == 2
+
+    def mod97(s):
+        return int("".join(str(int(c, 36)) for c in s)) % 97
+
+    for row, country, account, shape in ((rows[2], "GB", "west12345698765432", "GB82 WEST 1234 5698 7654 32"), (rows[3], "DE", "370400440532013000", "DE89370400440532013000")):
+        p = _permuted(account, "iban").upper()
+        want = _fill(shape, f"{country}{98 - mod97(p + country + '00'):02d}{p}")
+        assert want in row["text"] and row["n_iban"] == 1 and mod97(p + country + want[2:4]) == 1
+    net = _feistel(0x20010DB8, 0, 1 << 32, 1 << 32, "ip6-net")
+    host = _feistel(0x8A2E, 0x03707334, 1 << 32, 1 << 32, "ip6")
+    address = ":".join(f"{x:x}" for n in (*net, *host) for x in (n >> 16, n & 65535))
+    assert rows[4]["text"] == f"from {address} and {address}" and rows[4]["n_ip6"] == 2
+    assert rows[5]["text"].startswith("std::vector at 10:20:30, ::1, a::b, GB82 WEST 1234 5698 7654 33, +1 23")
+
+
+def test_a_key_from_a_file_is_in_no_plan(spark, tmp_path):
+    (tmp_path / "key").write_text(KEY + "\n")
+    df = spark.createDataFrame([(1, "mail jo.doe@x.org and 10.1.2.3", 7)], "doc_id long, text string, n_email int")
+    out = pii.pseudonymise(df, pii.secret(spark, str(tmp_path / "key")), counts=True)
+    assert out.columns == ["doc_id", "text", *(f"n_{k}" for k in pii.KINDS)]
+    assert out.select("text", "n_email").collect() == pii.pseudonymise(df, KEY, counts=True).select("text", "n_email").collect()
+    (tmp_path / "long").write_text("a-secret-of-its-own")
+    out = pii.pseudonymise(df, pii.secret(spark, str(tmp_path / "long")))
+    out.collect()
+    assert "a-secret-of-its-own" not in out._jdf.queryExecution().toString()
+    assert "a-secret-of-its-own" in pii.pseudonymise(df, "a-secret-of-its-own")._jdf.queryExecution().toString()
