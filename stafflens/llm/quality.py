@@ -99,7 +99,8 @@ def _repeated(w: Column) -> Column:
 def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus the MEASURES (long) of each row's whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(*keep, t.alias("__t"), words(t).alias("__w"))
+    # What is kept travels as one struct, so that its names meet none of these.
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__kept"), t.alias("__t"), words(t).alias("__w"))
     # A window hash that is nowhere repeated proves that no window is: only other texts are sorted.
     hashes = F.transform(F.sequence(F.lit(0), F.size("__w") - WINDOW), lambda i: _gram(F.col("__w"), i, F.xxhash64))
     df = df.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
@@ -116,7 +117,8 @@ def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         "n_lines": F.size("__lines"),
         "n_exclaims": F.length("__t") - _without(F.col("__t"), "!"),
     }
-    return df.select(*keep, *(columns[c].cast("long").alias(c) for c in MEASURES))
+    measures = F.struct(*(columns[c].cast("long").alias(c) for c in MEASURES))
+    return df.select("__kept", measures.alias("__m")).select("__kept.*", "__m.*")
 
 
 def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:

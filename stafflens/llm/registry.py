@@ -71,7 +71,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), quality.PRODUCTION)
+    rows = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents"), rules=quality.ALL_RULES), quality.PRODUCTION_2)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "n_lines", "n_exclaims", "failed")
 
 

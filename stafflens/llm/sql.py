@@ -112,7 +112,8 @@ WITH d AS (
     + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
     + CASE WHEN word_chars > 30 * n_words THEN 32 ELSE 0 END
-    + CASE WHEN n_exclaims > n_words THEN 64 ELSE 0 END)::BIGINT AS failed
+    + CASE WHEN n_exclaims > n_words THEN 64 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 128 ELSE 0 END)::BIGINT AS failed
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -55,3 +55,9 @@ def test_conditions_stay_above_the_measurements(spark, tmp_path):
     for out in (quality.filter_documents(df), quality.apply_policy(quality.ledger(df), quality.BASE).where("kept and n_lines > 1")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "DataFilters: []" in plan and plan.count("split(") <= 2
+
+
+def test_kept_names_meet_no_name_of_the_ledger(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, __w int, __t int, __lines int")
+    row = quality.ledger(df, keep=("doc_id", "__w", "__t", "__lines")).collect()[0]
+    assert (row["__w"], row["__t"], row["__lines"], row.n_words) == (5, 6, 7, 2)
