@@ -269,10 +269,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     Rows are judged by their own text whatever their ids: of equal rows, and of
     equal texts without id, one stays. A null or empty text stays.
     """
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    named = rows.select("__row", F.col(key).cast("long").alias("__id"), F.col(text).alias("text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole")  # its names meet none of these
+    rows = stored(df.select(whole, F.monotonically_increasing_id().alias("__row")), "rows")
+    named = rows.select("__row", F.col("whole")[key].cast("long").alias("__id"), F.col("whole")[text].alias("text"))
     found = stored(classes(named, ["__row", "__id"], F.col("__row"), "text", percent, bands, "near"), "near-rows")
     order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
     first = found.groupBy("component").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("component", F.col("first.__row").alias("first"))
     dropped = found.join(stored(first, "near-first"), "component").where(F.col("__row") != F.col("first")).select("__row")
-    return rows.join(stored(dropped, "dropped").hint("merge"), "__row", "left_anti").drop("__row")
+    return rows.join(stored(dropped, "dropped").hint("merge"), "__row", "left_anti").select("whole.*")

@@ -94,3 +94,9 @@ def test_long_texts_have_the_keys_of_short_ones(monkeypatch):
     want = S.shingle_sets([text])[0].tolist()
     monkeypatch.setattr(S, "_CHUNK", 100)
     assert S.shingle_sets(["x", text, None])[1].tolist() == want
+
+
+def test_keep_one_keeps_every_column_whatever_its_name(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 9), (2, "a b c", 6, 9)], "doc_id long, text string, __row int, whole int")
+    out = neardup.keep_one(df)
+    assert out.dtypes == df.dtypes and [tuple(r) for r in out.collect()] == [(1, "a b c", 5, 9)]
