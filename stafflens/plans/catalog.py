@@ -684,6 +684,29 @@ def exits_trend_by_file(spark, sf_dir):
     return out.select("month", "attrition_count", "rolling_12m_attrition", "rolling_12m_avg").orderBy("month")
 
 
+@register("cohort_retention_bitmaps")
+def cohort_retention_bitmaps(spark, sf_dir):
+    """W15 with the distinct employees of each year as bitmaps."""
+    t = _t(spark, sf_dir)
+    out = trends.cohort_retention_bitmaps(t.dim_employee_wide(), t.retention_fact(), as_of=as_of(), event_type=V.EXIT_EVENT)
+    return out.orderBy("hire_year")
+
+
+@register("score_review")
+def score_review(spark, sf_dir):
+    """W30 and W16 per employee, joined as the bucketed tables lie: no exchange below the final order."""
+    from ..sources.bucketed import BucketedTables
+    t = _t(spark, sf_dir)
+    t = BucketedTables(spark, sf_dir) if type(t) is HrTables else t
+    history = t.performance_fact().groupBy("employee_id").agg(
+        F.count(F.lit(1)).alias("n_scores"), fround(F.avg("performance_score"), 4).alias("mean_score"),
+        F.max("performance_score").alias("best_score"))
+    base = t.staging().select(F.col("EmployeeNumber").alias("employee_id"), F.col("JobRole").alias("role"), F.col("YearsAtCompany").alias("years"))
+    out = scoring.asof_snapshot(base.join(history, "employee_id", "left"), t.performance_fact(), left_key="employee_id", as_of=as_of())
+    return out.select("employee_id", "role", "years", F.coalesce("n_scores", F.lit(0)).cast("bigint").alias("n_scores"), "mean_score", "best_score",
+                      F.col("performance_score").alias("score_now")).orderBy("employee_id")
+
+
 @register("load_csv_folder")
 def load_csv_folder(spark, sf_dir):
     """W01 over a folder whose files have different headers; every row is bound by its own file's names."""

@@ -657,6 +657,15 @@ ORACLE["load_key_registry"] = with_hr(
 FROM staging""")
 
 ORACLE["load_csv_folder"] = ORACLE["load_staging"]
+ORACLE["cohort_retention_bitmaps"] = ORACLE["q02_cohort_retention"]
+
+ORACLE["score_review"] = with_hr(
+    f"""SELECT s.EmployeeNumber AS employee_id, s.JobRole AS role, s.YearsAtCompany AS years,
+  COALESCE(h.n_scores, 0) AS n_scores, h.mean_score, h.best_score, p.performance_score AS score_now
+FROM staging s
+LEFT JOIN (SELECT employee_id, COUNT(*) AS n_scores, {R('AVG(performance_score)', 4)} AS mean_score,
+    MAX(performance_score) AS best_score FROM performance_fact GROUP BY employee_id) h ON h.employee_id = s.EmployeeNumber
+LEFT JOIN performance_fact p ON p.employee_id = s.EmployeeNumber AND p.date_key = {AS_OF_SQL}""")
 
 
 def _profile_sql() -> str:
