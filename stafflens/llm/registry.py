@@ -45,8 +45,8 @@ def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = substrings.repeated_spans(_table(spark, sf_dir, "documents"))
-    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    spans = substrings.repeated_spans(_table(spark, sf_dir, "documents"), short=substrings.SHORT)
+    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_short")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

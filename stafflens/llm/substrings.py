@@ -19,6 +19,10 @@ lose no match:
    extended by one byte to the left, breadth first; the right bounds that are new
    are exactly the places where neighbouring suffixes share l bytes. The expansion
    stops at ``length``: places that are still unset share at least that much.
+   Prefixes come by increasing length, so a second, shorter bound costs no second
+   run: the bounds as they stand at ``short`` bytes tell the strings of that length.
+   Anchors are then those of windows of ``short`` bytes, and a segment carries the
+   bytes that its windows need to be read up to ``length``.
 4. *Hot groups.* A group with more than ``MOST`` distinct segments is cut again:
    its windows are split by offset, and the part's key is the bytes that all its
    windows have in common, which grow with every cut until a window is its own
@@ -46,6 +50,8 @@ from stafflens.llm import shingles as S
 from stafflens.llm.common import stored
 
 LENGTH = 400
+#: Bytes of a passage of over fifty words of about five bytes; reported, not removed.
+SHORT = 250
 GRAM = 32
 MOST = 256
 BATCH_BYTES = 1 << 18
@@ -127,12 +133,21 @@ def _anchored(pieces: list[tuple[int, int, bytes]], length: int):
 
 
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the starts of its windows of ``length`` bytes that occur again in any of the strings.
+    """For each string the starts of its windows of ``length`` bytes that occur again in any of the strings."""
+    return _repeated_starts(strings, [len(s) for s in strings], [length])[0]
+
+
+def _repeated_starts(strings: list[bytes], windows: list[int], lengths: list[int]) -> list[list[np.ndarray]]:
+    """For each of the ascending ``lengths``, for each string: the starts of windows of that many bytes that occur again.
+
+    Only the first ``windows`` starts of a string count, as places and as places to be equal to; what follows is context.
 
     A Burrows-Wheeler transform of the strings (rotations in the order of their
     first ``length`` bytes or more, which fixes every interval that is used),
-    then the expansion of intervals up to ``length``.
+    then the expansion of intervals up to the last length.
     """
+    length = lengths[-1]
+    reached = {}
     data = np.frombuffer(bytes([BREAK]) + b"".join(s + bytes([BREAK]) for s in strings), dtype=np.uint8)
     n = len(data)
     order = _rotations(data, length)
@@ -145,7 +160,9 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1], [True])))
     run = np.cumsum(np.concatenate(([0], before[1:] != before[:-1])))
     left, right = np.array([0]), np.array([n])
-    for _ in range(length):
+    for done in range(length):
+        if done in lengths:
+            reached[done] = bound.copy()
         if not len(left):
             break
         first, last = run[left], run[right - 1]
@@ -167,13 +184,21 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
         new = ~bound[hi]
         bound[hi[new]] = True
         left, right = lo[new], hi[new]
-    again = ~(bound[:-1] & bound[1:])
-    starts = np.zeros(n, dtype=bool)
-    starts[order[again]] = True
-    out, at = [], 1
-    for s in strings:
-        out.append(np.flatnonzero(starts[at : at + max(0, len(s) - length + 1)]))
-        at += len(s) + 1
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    begin = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+    out = []
+    for most in lengths:
+        # Rotations between two bounds share ``most`` bytes.
+        same = np.cumsum(reached.get(most, bound)[:-1]) - 1
+        own = np.clip(np.minimum(sizes - most + 1, windows), 0, None)
+        counts = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(counts, begin, 1)
+        np.add.at(counts, begin + own, -1)
+        place = (np.cumsum(counts[:n]) > 0)[order]
+        again = place & (np.bincount(same, weights=place, minlength=1)[same] > 1)
+        starts = np.zeros(n, dtype=bool)
+        starts[order[again]] = True
+        out.append([np.flatnonzero(starts[at : at + k]) for at, k in zip(begin.tolist(), own.tolist())])
     return out
 
 
@@ -251,8 +276,13 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, unit binary, n_bytes long, sha256 string, hashes array<long>, twice array<long>")
 
 
-def _segments(texts: DataFrame, length: int) -> DataFrame:
-    """Candidate segments: unit, start, key, seg_id, seg, anchor (place of the anchor in the segment)."""
+_SEGMENT = ["unit", "start", "key", "seg_id", "seg", "anchor", "windows"]
+_SEGMENT_TYPES = "unit binary, start long, key binary, seg_id binary, seg binary, anchor int, windows int"
+
+
+def _segments(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Candidate segments: unit, start, key, seg_id, seg, anchor (its place in the segment), windows (that begin in it)."""
+    length, reach = lengths[0], lengths[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,111 +295,128 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for i, h, a, b, p in zip(text.tolist(), key.tolist(), first.tolist(), last.tolist(), place.tolist()):
                     if h in wanted[i]:
-                        seg = raw[i][a : b + length]
-                        rows.append((units[i], a, h.to_bytes(8, "big", signed=True), hashlib.md5(seg).digest(), seg, p - a))
-                yield pd.DataFrame(rows, columns=["unit", "start", "key", "seg_id", "seg", "anchor"])
+                        seg = raw[i][a : b + reach]
+                        own = hashlib.md5((b - a).to_bytes(4, "big") + seg).digest()
+                        rows.append((units[i], a, h.to_bytes(8, "big", signed=True), own, seg, p - a, b - a + 1))
+                yield pd.DataFrame(rows, columns=_SEGMENT)
 
-    return texts.mapInPandas(run, "unit binary, start long, key binary, seg_id binary, seg binary, anchor int")
+    return texts.mapInPandas(run, _SEGMENT_TYPES)
 
 
-def _cut(segments: DataFrame, length: int, width: int) -> DataFrame:
-    """Segments of hot groups cut by the anchor's offset: unit (the parent's seg_id), start, key, seg_id, seg, anchor.
+def _cut(segments: DataFrame, lengths: list[int], width: int) -> DataFrame:
+    """Segments of hot groups cut by the anchor's offset: unit (the parent's seg_id), and the rest as ``_segments``.
 
     The windows whose anchor is ``r * width`` to ``r * width + width - 1`` bytes from their start all
-    hold the same ``length - width + 1`` bytes around it; r and those bytes are the key.
+    hold the same ``length - width + 1`` bytes around it (of the first of the lengths); r and those bytes are the key.
     """
+    length, reach = lengths[0], lengths[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for parent, seg, anchor in zip(batch["seg_id"], batch["seg"], batch["anchor"]):
-                windows = len(seg) - length + 1
+            for parent, seg, anchor, windows in zip(batch["seg_id"], batch["seg"], batch["anchor"].tolist(), batch["windows"].tolist()):
                 for r in range((anchor - windows + 1) // width, anchor // width + 1):
                     lo, hi = max(0, anchor - r * width - width + 1), min(windows - 1, anchor - r * width)
                     common = seg[anchor - r * width : anchor - r * width - width + 1 + length]
-                    part = seg[lo : hi + length]
+                    part = seg[lo : hi + reach]
                     key = hashlib.md5(width.to_bytes(4, "big") + r.to_bytes(4, "big", signed=True) + common).digest()
-                    rows.append((parent, lo, key, hashlib.md5(key + part).digest(), part, anchor - lo))
+                    own = hashlib.md5(key + (hi - lo).to_bytes(4, "big") + part).digest()
+                    rows.append((parent, lo, key, own, part, anchor - lo, hi - lo + 1))
                 if len(rows) > 5000:
-                    yield pd.DataFrame(rows, columns=["unit", "start", "key", "seg_id", "seg", "anchor"])
+                    yield pd.DataFrame(rows, columns=_SEGMENT)
                     rows = []
-            yield pd.DataFrame(rows, columns=["unit", "start", "key", "seg_id", "seg", "anchor"])
+            yield pd.DataFrame(rows, columns=_SEGMENT)
 
-    return segments.select("seg_id", "seg", "anchor").mapInPandas(run, "unit binary, start long, key binary, seg_id binary, seg binary, anchor int")
+    return segments.select("seg_id", "seg", "anchor", "windows").mapInPandas(run, _SEGMENT_TYPES)
 
 
-def _expanded(groups: DataFrame, length: int) -> DataFrame:
-    """Repeated runs (seg_id, lo, hi) among the segments of each key, batch after batch."""
+def _expanded(groups: DataFrame, lengths: list[int]) -> DataFrame:
+    """Repeated runs (seg_id, bound, lo, hi) among the segments of each key, batch after batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, strings, size, key = [], [], 0, None
+        ids, strings, windows, size, key = [], [], [], 0, None
 
         def spans() -> pd.DataFrame:
-            found = repeated_starts(strings, length)
-            rows = [(i, a, b) for i, f in zip(ids, found) for a, b in covered(f, length)]
-            return pd.DataFrame(rows, columns=["seg_id", "lo", "hi"]).astype({"lo": "int64", "hi": "int64"})
+            found = _repeated_starts(strings, windows, lengths)
+            rows = [(i, n, a, b) for n, own in zip(lengths, found) for i, f in zip(ids, own) for a, b in covered(f, n)]
+            return pd.DataFrame(rows, columns=["seg_id", "bound", "lo", "hi"]).astype({"bound": "int32", "lo": "int64", "hi": "int64"})
 
         for batch in batches:
-            for k, i, seg in zip(batch["key"], batch["seg_id"], batch["seg"]):
+            for k, i, seg, n in zip(batch["key"], batch["seg_id"], batch["seg"], batch["windows"].tolist()):
                 if k != key and size > BATCH_BYTES:
                     yield spans()
-                    ids, strings, size = [], [], 0
+                    ids, strings, windows, size = [], [], [], 0
                 key = k
                 ids.append(i)
                 strings.append(seg)
+                windows.append(n)
                 size += len(seg)
         if strings:
             yield spans()
 
-    dealt = groups.select("key", "seg_id", "seg").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(run, "seg_id binary, lo long, hi long")
+    dealt = groups.select("key", "seg_id", "seg", "windows").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(run, "seg_id binary, bound int, lo long, hi long")
 
 
-def _repeats(segments: DataFrame, length: int, widths: list[int]) -> DataFrame:
-    """Repeated runs (unit, lo, hi) of the places of ``segments``."""
+def _repeats(segments: DataFrame, lengths: list[int], widths: list[int]) -> DataFrame:
+    """Repeated runs (unit, bound, lo, hi) of the places of ``segments``."""
     places = segments.select("unit", "start", "seg_id")
-    distinct = segments.groupBy("seg_id").agg(F.first("key").alias("key"), F.first("seg").alias("seg"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
-    distinct = stored(distinct, "segments")
+    firsts = [F.first(c).alias(c) for c in ("key", "seg", "anchor", "windows")]
+    distinct = stored(segments.groupBy("seg_id").agg(*firsts, F.count("*").alias("n")), "segments")
     groups = distinct.groupBy("key").agg(F.count("*").alias("members"))
     groups = stored(groups.where("members > 1"), "groups")
-    most = max(2, min(MOST, (1 << 20) // (2 * length)))  # a segment has less than twice the length
-    # An equal segment at another place repeats whole.
-    found = distinct.where("n > 1").select("seg_id", F.lit(0).cast("long").alias("lo"), F.length("seg").cast("long").alias("hi"))
+    most = max(2, min(MOST, (1 << 20) // (2 * lengths[-1])))  # a segment has less than twice the length
+
+    def whole(rows: DataFrame, length: int) -> DataFrame:
+        end = F.least(F.length("seg"), F.col("windows") - 1 + length).cast("long")
+        return rows.where(F.length("seg") >= length).select("seg_id", F.lit(length).alias("bound"), F.lit(0).cast("long").alias("lo"), end.alias("hi"))
+
     rest = distinct.join(groups, "key")
-    found = found.union(_expanded(rest.where(F.col("members") <= most), length))
-    hot = groups.where(F.col("members") > most)
-    if widths and hot.limit(1).count():
-        parts = stored(_cut(rest.where(F.col("members") > most), length, widths[0]), "parts")
-        deeper = _repeats(parts, length, widths[1:]).withColumnRenamed("unit", "seg_id")
-        found = found.union(deeper.select("seg_id", "lo", "hi"))
+    found = _expanded(rest.where(F.col("members") <= most), lengths)
+    for length in lengths:  # an equal segment at another place repeats whole
+        found = found.union(whole(distinct.where("n > 1"), length))
+    large = rest.where(F.col("members") > most)
+    if groups.where(F.col("members") > most).limit(1).count():
+        if widths:
+            parts = stored(_cut(large, lengths, widths[0]), "parts")
+            deeper = _repeats(parts, lengths, widths[1:]).withColumnRenamed("unit", "seg_id")
+            found = found.union(deeper.select("seg_id", "bound", "lo", "hi"))
+        else:
+            # The parts of a key are one window of the first length each, all equal; those that go on alike are equal parts.
+            found = found.union(whole(large, lengths[0]))
     found = stored(found, "runs")
-    return places.join(found, "seg_id").select("unit", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    return places.join(found, "seg_id").select("unit", "bound", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
 
 
-def _kept(texts: DataFrame) -> DataFrame:
-    """unit, n_removed, n_spans, sha256 of what remains, from text and spans."""
+def _kept(texts: DataFrame, length: int) -> DataFrame:
+    """unit, n_removed, n_spans, sha256 of what remains, n_short (bytes under spans of the first bound), from text and spans."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for unit, text, spans in zip(batch["unit"], batch["text"], batch["spans"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                runs = merged([(s["lo"], s["hi"]) for s in spans])
+                runs = merged([(s["lo"], s["hi"]) for s in spans if s["bound"] == length])
+                short = merged([(s["lo"], s["hi"]) for s in spans])
                 digest, at = hashlib.sha256(), 0
                 for a, b in runs:
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
-                rows.append((unit, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [a for a, _ in runs], [b for _, b in runs]))
-            yield pd.DataFrame(rows, columns=["unit", "n_removed", "n_spans", "sha256", "los", "his"])
+                rows.append((unit, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [a for a, _ in runs], [b for _, b in runs], sum(b - a for a, b in short)))
+            yield pd.DataFrame(rows, columns=["unit", "n_removed", "n_spans", "sha256", "los", "his", "n_short"])
 
-    return texts.mapInPandas(run, "unit binary, n_removed long, n_spans long, sha256 string, los array<long>, his array<long>")
+    return texts.mapInPandas(run, "unit binary, n_removed long, n_spans long, sha256 string, los array<long>, his array<long>, n_short long")
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of lo, hi in bytes): one row per row of ``df``."""
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, short: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of lo, hi in bytes): one row per row of ``df``.
+
+    With ``short`` (at most ``length``) also n_repeated_short: bytes covered by strings of that many bytes that occur again.
+    """
+    lengths = sorted({short or length, length})
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = stored(_scan(texts, length), "scan")
+    scan = stored(_scan(texts, lengths[0]), "scan")
     units = stored(scan.groupBy("unit").agg(F.count("*").alias("rows"), F.min("doc_id").alias("rep")), "units")
     one = scan.select("unit", "doc_id", "hashes", "twice").join(units, "unit").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     one = stored(one.select("unit", "rep", F.xxhash64("unit").alias("u"), "hashes", "twice"), "anchors")
@@ -381,14 +428,14 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     mine = F.unhex(F.md5(F.col("text").cast("binary")))
     moved = texts.where("text is not null").withColumn("unit", mine).join(wanted.withColumnRenamed("unit", "w").hint("merge"), (F.col("unit") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     moved = stored(moved.select("unit", "text", "hashes"), "moved")
-    segments = stored(_segments(moved, length), "cut")
+    segments = stored(_segments(moved, lengths), "cut")
     # Offsets of an anchor in a window run to length - gram; each cut leaves parts of an eighth, at last single windows.
-    widths, w = [], length - _gram(length) + 1
+    widths, w = [], lengths[0] - _gram(lengths[0]) + 1
     while w > 1:
         w = max(1, w // 8)
         widths.append(w)
-    spans = _repeats(segments, length, widths).groupBy("unit").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    kept = _kept(moved.select("unit", "text").join(stored(spans, "spans"), "unit"))
+    spans = _repeats(segments, lengths, widths).groupBy("unit").agg(F.collect_set(F.struct("bound", "lo", "hi")).alias("spans"))
+    kept = _kept(moved.select("unit", "text").join(stored(spans, "spans"), "unit"), length)
     kept = stored(kept.dropDuplicates(["unit"]), "kept")  # rows that repeat id and text
 
     whole = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
@@ -396,6 +443,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     out = scan.select("doc_id", "unit", "n_bytes", F.col("sha256").alias("own")).join(results, "unit")
     empty = hashlib.sha256(b"").hexdigest()
     parts = F.coalesce(F.arrays_zip(F.col("los").alias("lo"), F.col("his").alias("hi")), F.array().cast("array<struct<lo:long,hi:long>>"))
+    in_short = (F.col("rows") > 1) & (F.col("n_bytes") >= lengths[0])
+    repeated = F.when(in_short, F.col("n_bytes")).otherwise(F.coalesce("n_short", F.lit(0).cast("long")))
     return out.select(
         "doc_id",
         "n_bytes",
@@ -403,4 +452,5 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("sha256", "own")).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(parts).alias("spans"),
+        *([repeated.alias("n_repeated_short")] if short else []),
     )

@@ -99,3 +99,37 @@ def test_long_text_crosses_pieces(spark, monkeypatch):
     texts.append(texts[0][:700] + "Q" + texts[0][690:1500])
     assert sorted(substrings.anchored([texts[0].encode()], 24)[2].tolist())[0] == 0
     assert run(spark, texts, 24) == expect(texts, 24)
+
+
+def run_short(spark, texts, length, short):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = substrings.repeated_spans(df, length=length, short=short).collect()
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated_short) for r in rows)
+
+
+def expect_short(texts, length, short):
+    return [(i, *a, b[1]) for i, (a, b) in enumerate(zip(brute(texts, length), brute(texts, short)))]
+
+
+@pytest.mark.parametrize("seed,short", [(1, 16), (2, 10), (3, 24)])
+def test_a_shorter_bound_leaves_the_removal_as_it_is(spark, seed, short):
+    texts = corpus(seed) + ["", None, "a" * 200, "ab" * 90, "short", "a" * short, "b" * 20, "b" * 20, *corpus(seed)[:5]]
+    assert run_short(spark, texts, 24, short) == expect_short(texts, 24, short)
+
+
+def test_hot_short_passage_with_a_tail_of_its_own_each(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST", 4)
+    rng = random.Random(8)
+    passage = " ".join(word(rng) for _ in range(8))[:26]
+    tails = [" ".join(word(rng) for _ in range(6)) for _ in range(12)]
+    texts = [" ".join([word(rng), word(rng), passage, rng.choice(tails), word(rng)]) for _ in range(40)]
+    texts += ["x" * 300, passage, passage + tails[0][:9]]
+    assert run_short(spark, texts, 32, 20) == expect_short(texts, 32, 20)
+
+
+def test_a_shorter_bound_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_PIECE", 256)
+    rng = random.Random(5)
+    texts = [" ".join(word(rng) for _ in range(600))]
+    texts.append(texts[0][:700] + "Q" + texts[0][680:1500] + "Q" + texts[0][300:318])
+    assert run_short(spark, texts, 24, 16) == expect_short(texts, 24, 16)
