@@ -216,18 +216,32 @@ def _rotations(data: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(done):
         key = key << np.uint64(8) | np.roll(data, -i).astype(np.uint64)
-    while True:
-        both = key << bits | start
+    both = key << bits | start
+    both.sort()
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    both >>= bits
+    # A rank is the slot of the first rotation of its class, so a class that is split leaves the other ranks as they are.
+    slot = np.arange(n)
+    fresh = np.concatenate(([True], both[1:] != both[:-1]))
+    rank = np.empty(n, dtype=np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, slot, 0)).astype(np.uint64)
+    while done < length:
+        # Only rotations that are still equal to another one are sorted again, within the slots of their class.
+        slot = slot[~(fresh & np.append(fresh[1:], True))]
+        if not len(slot):
+            break
+        own = order[slot]
+        ahead = own + done
+        ahead[ahead >= n] %= n
+        both = ((rank[own] << bits | rank[ahead]) << bits) | own.astype(np.uint64)
         both.sort()
-        order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        own = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         both >>= bits
-        fresh = np.concatenate(([False], both[1:] != both[:-1]))
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        if done >= length or fresh[1:].all():
-            return order
-        key = rank << bits | np.roll(rank, -done)
+        order[slot] = own
+        fresh = np.concatenate(([True], both[1:] != both[:-1]))
+        rank[own] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(slot)), 0))].astype(np.uint64)
         done *= 2
+    return order
 
 
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:

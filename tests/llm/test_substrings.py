@@ -133,3 +133,21 @@ def test_a_shorter_bound_across_pieces(spark, monkeypatch):
     texts = [" ".join(word(rng) for _ in range(600))]
     texts.append(texts[0][:700] + "Q" + texts[0][680:1500] + "Q" + texts[0][300:318])
     assert run_short(spark, texts, 24, 16) == expect_short(texts, 24, 16)
+
+
+def test_windows_of_two_lengths_and_context():
+    rng = random.Random(4)
+    for k in range(150):
+        letters = "ab" if k % 3 else "abcdefgh "
+        base = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))).encode() for _ in range(3)]
+        strings = [rng.choice(base) * rng.randint(1, 3) + rng.choice(base)[: rng.randint(0, 30)] for _ in range(rng.randint(1, 12))]
+        windows = [rng.randint(0, len(s) + 2) for s in strings]
+        lengths = sorted({rng.randint(1, 20), rng.randint(5, 90)})
+        found = substrings._repeated_starts(strings, windows, lengths)
+        for length, own in zip(lengths, found):
+            starts = [range(max(0, min(n, len(s) - length + 1))) for s, n in zip(strings, windows)]
+            places = defaultdict(int)
+            for s, at in zip(strings, starts):
+                for i in at:
+                    places[s[i : i + length]] += 1
+            assert [f.tolist() for f in own] == [[i for i in at if places[s[i : i + length]] > 1] for s, at in zip(strings, starts)]
