@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stafflens.llm import shingles as S
-from stafflens.llm.common import stored
+from stafflens.llm.common import discard, stored
 
 LENGTH = 400
 #: Bytes of a passage of over fifty words of about five bytes; reported, not removed.
@@ -373,10 +373,11 @@ def _expanded(groups: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _repeats(segments: DataFrame, lengths: list[int], widths: list[int]) -> DataFrame:
-    """Repeated runs (unit, bound, lo, hi) of the places of ``segments``."""
-    places = segments.select("unit", "start", "seg_id")
+    """Repeated runs (unit, bound, lo, hi) of the places of ``segments``, a stored table that is deleted."""
     firsts = [F.first(c).alias(c) for c in ("key", "seg", "anchor", "windows")]
     distinct = stored(segments.groupBy("seg_id").agg(*firsts, F.count("*").alias("n")), "segments")
+    places = stored(segments.select("unit", "start", "seg_id"), "places")
+    discard(segments)
     groups = distinct.groupBy("key").agg(F.count("*").alias("members"))
     groups = stored(groups.where("members > 1"), "groups")
     most = max(2, min(MOST, (1 << 20) // (2 * lengths[-1])))  # a segment has less than twice the length
@@ -390,15 +391,18 @@ def _repeats(segments: DataFrame, lengths: list[int], widths: list[int]) -> Data
     for length in lengths:  # an equal segment at another place repeats whole
         found = found.union(whole(distinct.where("n > 1"), length))
     large = rest.where(F.col("members") > most)
+    below = []
     if groups.where(F.col("members") > most).limit(1).count():
         if widths:
             parts = stored(_cut(large, lengths, widths[0]), "parts")
             deeper = _repeats(parts, lengths, widths[1:]).withColumnRenamed("unit", "seg_id")
+            below.append(deeper)
             found = found.union(deeper.select("seg_id", "bound", "lo", "hi"))
         else:
             # The parts of a key are one window of the first length each, all equal; those that go on alike are equal parts.
             found = found.union(whole(large, lengths[0]))
     found = stored(found, "runs")
+    discard(distinct, groups, *below)
     return places.join(found, "seg_id").select("unit", "bound", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
 
 
@@ -436,25 +440,34 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     one = stored(one.select("unit", "rep", F.xxhash64("unit").alias("u"), "hashes", "twice"), "anchors")
     places = one.select("u", F.explode("hashes").alias("h"), F.lit(False).alias("twice")).union(one.select("u", F.explode("twice"), F.lit(True)))
     hot = places.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.max("twice").alias("twice")).where("a != b or twice").select("h")
-    wanted = one.select("unit", "rep", F.explode("hashes").alias("h")).join(stored(hot, "hot"), "h")
+    hot = stored(hot, "hot")
+    wanted = one.select("unit", "rep", F.explode("hashes").alias("h")).join(hot, "h")
     wanted = stored(wanted.groupBy("unit", "rep").agg(F.collect_set("h").alias("hashes")), "wanted")
+    # What later steps read of the scan, without its hashes.
+    known = stored(scan.select("doc_id", "unit", "n_bytes", "sha256"), "known")
+    discard(scan, one, hot)
 
     mine = F.unhex(F.md5(F.col("text").cast("binary")))
     moved = texts.where("text is not null").withColumn("unit", mine).join(wanted.withColumnRenamed("unit", "w").hint("merge"), (F.col("unit") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     moved = stored(moved.select("unit", "text", "hashes"), "moved")
+    discard(wanted)
     segments = stored(_segments(moved, lengths), "cut")
     # Offsets of an anchor in a window run to length - gram; each cut leaves parts of an eighth, at last single windows.
     widths, w = [], lengths[0] - _gram(lengths[0]) + 1
     while w > 1:
         w = max(1, w // 8)
         widths.append(w)
-    spans = _repeats(segments, lengths, widths).groupBy("unit").agg(F.collect_set(F.struct("bound", "lo", "hi")).alias("spans"))
-    kept = _kept(moved.select("unit", "text").join(stored(spans, "spans"), "unit"), length)
+    found = _repeats(segments, lengths, widths)
+    spans = stored(found.groupBy("unit").agg(F.collect_set(F.struct("bound", "lo", "hi")).alias("spans")), "spans")
+    discard(found)
+    kept = _kept(moved.select("unit", "text").join(spans, "unit"), length)
     kept = stored(kept.dropDuplicates(["unit"]), "kept")  # rows that repeat id and text
+    discard(moved, spans)
 
     whole = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
     results = stored(units.select("unit", "rows").join(kept, "unit", "left"), "results")
-    out = scan.select("doc_id", "unit", "n_bytes", F.col("sha256").alias("own")).join(results, "unit")
+    discard(units, kept)
+    out = known.select("doc_id", "unit", "n_bytes", F.col("sha256").alias("own")).join(results, "unit")
     empty = hashlib.sha256(b"").hexdigest()
     parts = F.coalesce(F.arrays_zip(F.col("los").alias("lo"), F.col("his").alias("hi")), F.array().cast("array<struct<lo:long,hi:long>>"))
     in_short = (F.col("rows") > 1) & (F.col("n_bytes") >= lengths[0])
