@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixtures import HrTables, _plan, dim_employee_wide, performance_fact, staging, stored_path
+from .fixtures import HrTables, _plan, dim_employee_wide, performance_fact, stored_path
 
 #: A key with more rows makes one bucket, so one task of every join, too large.
 MOST_ROWS = 1_000_000
@@ -61,7 +61,7 @@ class BucketedTables(HrTables):
         return _plan(self.spark, ("bucketed", name, self.sf_dir, self.signature, self.buckets, self.most_rows), write_then_read)
 
     def staging(self) -> DataFrame:
-        return self._bucketed("staging", "EmployeeNumber", lambda: staging(self.spark, self.sf_dir))
+        return self._bucketed("staging", "EmployeeNumber", super().staging)
 
     def performance_fact(self) -> DataFrame:
         return self._bucketed("performance_fact", "employee_id", lambda: performance_fact(self.spark, self.sf_dir))
