@@ -8,11 +8,15 @@ lose no match:
 1. *Anchors.* The anchor of a window of ``length`` bytes is the leftmost of its
    k-grams with the smallest hash: it depends on the window's bytes only, so equal
    windows have equal anchors at equal offsets. The windows of a text that share
-   an anchor are consecutive; together they are a *segment*. One pass over the
+   an anchor are consecutive; together they are a *segment*. Where a text repeats
+   itself with a period, the next anchor has the same hash a period later: the
+   windows of such anchors that follow each other are one segment too, so that a
+   byte is not copied into a segment for each period around it. One pass over the
    texts lists the anchors' hashes (about one for 185 bytes).
 2. *Candidates.* Hashes that occur once cannot anchor a repeated window. Only
    texts with another hash are moved, only their candidate segments are cut out,
-   and equal segments become one, with a count.
+   and equal segments become one, with a count. A segment of several anchors may
+   hold a window twice, so it is a candidate by itself.
 3. *Transform.* The distinct segments of a hash form a group; groups are batched
    to a quarter of a megabyte, and each batch gets its own Burrows-Wheeler transform. Starting
    from the interval of the empty string, all intervals of strings of l bytes are
@@ -26,7 +30,8 @@ lose no match:
 4. *Hot groups.* A group with more than ``MOST`` distinct segments is cut again:
    its windows are split by offset, and the part's key is the bytes that all its
    windows have in common, which grow with every cut until a window is its own
-   key. So no task holds a passage's every context, and no match is lost.
+   key. Parts of one key that follow each other stay one, and each length is cut for
+   itself, so that parts are one whatever follows their windows. So no task holds a passage's every context, and no match is lost.
 
 Texts are identified by their 128-bit digest; a text that several rows hold is
 processed once and, if it is long enough, removed whole in each.
@@ -290,12 +295,22 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, unit binary, n_bytes long, sha256 string, hashes array<long>, twice array<long>")
 
 
-_SEGMENT = ["unit", "start", "key", "seg_id", "seg", "anchor", "windows"]
-_SEGMENT_TYPES = "unit binary, start long, key binary, seg_id binary, seg binary, anchor int, windows int"
+_SEGMENT = ["unit", "start", "key", "seg_id", "seg", "anchors", "windows"]
+_SEGMENT_TYPES = "unit binary, start long, key binary, seg_id binary, seg binary, anchors array<int>, windows int"
+
+
+def _joined(text: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, most: int) -> np.ndarray:
+    """Where segments begin when those of one hash that follow each other are one, up to ``most`` starts at a time."""
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (first[1:] != last[:-1] + 1)
+    run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    part = (first - first[run]) // most
+    new[1:] |= part[1:] != part[:-1]
+    return np.flatnonzero(new)
 
 
 def _segments(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """Candidate segments: unit, start, key, seg_id, seg, anchor (its place in the segment), windows (that begin in it)."""
+    """Candidate segments: unit, start, key, seg_id, seg, anchors (their places in the segment), windows (that begin in it)."""
     length, reach = lengths[0], lengths[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,43 +320,60 @@ def _segments(texts: DataFrame, lengths: list[int]) -> DataFrame:
                 raw = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
                 text, key, first, last, place = anchored(raw, length)
                 key = key.view(np.int64)
+                begins = _joined(text, key, first, last, reach)
+                ends = np.append(begins[1:], len(text))
                 units, wanted = part["unit"].tolist(), [set(h.tolist()) for h in part["hashes"]]
                 rows = []
-                for i, h, a, b, p in zip(text.tolist(), key.tolist(), first.tolist(), last.tolist(), place.tolist()):
+                for i, h, a, b, lo, hi in zip(text[begins].tolist(), key[begins].tolist(), first[begins].tolist(), last[ends - 1].tolist(), begins.tolist(), ends.tolist()):
                     if h in wanted[i]:
                         seg = raw[i][a : b + reach]
                         own = hashlib.md5((b - a).to_bytes(4, "big") + seg).digest()
-                        rows.append((units[i], a, h.to_bytes(8, "big", signed=True), own, seg, p - a, b - a + 1))
+                        # An anchor whose windows lie in two pieces of a text is there twice.
+                        anchors = place[lo : lo + 1] - a if hi - lo == 1 else np.unique(place[lo:hi]) - a
+                        rows.append((units[i], a, h.to_bytes(8, "big", signed=True), own, seg, anchors, b - a + 1))
                 yield pd.DataFrame(rows, columns=_SEGMENT)
 
     return texts.mapInPandas(run, _SEGMENT_TYPES)
 
 
-def _cut(segments: DataFrame, lengths: list[int], width: int) -> DataFrame:
+def _cut(segments: DataFrame, length: int, width: int) -> DataFrame:
     """Segments of hot groups cut by the anchor's offset: unit (the parent's seg_id), and the rest as ``_segments``.
 
     The windows whose anchor is ``r * width`` to ``r * width + width - 1`` bytes from their start all
-    hold the same ``length - width + 1`` bytes around it (of the first of the lengths); r and those bytes are the key.
+    hold the same ``length - width + 1`` bytes around it; r and those bytes are the key.
+    The anchors of a segment have one hash, so a window's anchor is the first one that is not before its start.
+    Parts of one key that follow each other are one, but for single windows, which are all equal by their key.
     """
-    length, reach = lengths[0], lengths[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for parent, seg, anchor, windows in zip(batch["seg_id"], batch["seg"], batch["anchor"].tolist(), batch["windows"].tolist()):
-                for r in range((anchor - windows + 1) // width, anchor // width + 1):
-                    lo, hi = max(0, anchor - r * width - width + 1), min(windows - 1, anchor - r * width)
-                    common = seg[anchor - r * width : anchor - r * width - width + 1 + length]
-                    part = seg[lo : hi + reach]
-                    key = hashlib.md5(width.to_bytes(4, "big") + r.to_bytes(4, "big", signed=True) + common).digest()
-                    own = hashlib.md5(key + (hi - lo).to_bytes(4, "big") + part).digest()
-                    rows.append((parent, lo, key, own, part, anchor - lo, hi - lo + 1))
+            for parent, seg, anchors, windows in zip(batch["seg_id"], batch["seg"], batch["anchors"], batch["windows"].tolist()):
+                begin, parts = 0, []
+                windows = min(windows, len(seg) - length + 1)  # those of a longer bound may end before
+                for anchor in anchors.tolist():
+                    if begin >= windows:
+                        break
+                    end = min(anchor, windows - 1)
+                    for r in range((anchor - begin) // width, (anchor - end) // width - 1, -1):
+                        lo, hi = max(begin, anchor - r * width - width + 1), min(end, anchor - r * width)
+                        common = seg[anchor - r * width : anchor - r * width - width + 1 + length]
+                        key = hashlib.md5(width.to_bytes(4, "big") + r.to_bytes(4, "big", signed=True) + common).digest()
+                        if width > 1 and parts and parts[-1][2] == key:
+                            parts[-1][1] = hi
+                            parts[-1][3].append(anchor)
+                        else:
+                            parts.append([lo, hi, key, [anchor]])
+                    begin = end + 1
+                for lo, hi, key, own in parts:
+                    part = seg[lo : hi + length]
+                    rows.append((parent, lo, key, hashlib.md5(key + (hi - lo).to_bytes(4, "big") + part).digest(), part, [p - lo for p in own], hi - lo + 1))
                 if len(rows) > 5000:
                     yield pd.DataFrame(rows, columns=_SEGMENT)
                     rows = []
             yield pd.DataFrame(rows, columns=_SEGMENT)
 
-    return segments.select("seg_id", "seg", "anchor", "windows").mapInPandas(run, _SEGMENT_TYPES)
+    return segments.select("seg_id", "seg", "anchors", "windows").mapInPandas(run, _SEGMENT_TYPES)
 
 
 def _expanded(groups: DataFrame, lengths: list[int]) -> DataFrame:
@@ -374,13 +406,13 @@ def _expanded(groups: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _repeats(segments: DataFrame, lengths: list[int], widths: list[int]) -> DataFrame:
     """Repeated runs (unit, bound, lo, hi) of the places of ``segments``, a stored table that is deleted."""
-    firsts = [F.first(c).alias(c) for c in ("key", "seg", "anchor", "windows")]
+    firsts = [F.first(c).alias(c) for c in ("key", "seg", "anchors", "windows")]
     distinct = stored(segments.groupBy("seg_id").agg(*firsts, F.count("*").alias("n")), "segments")
     places = stored(segments.select("unit", "start", "seg_id"), "places")
     discard(segments)
-    groups = distinct.groupBy("key").agg(F.count("*").alias("members"))
-    groups = stored(groups.where("members > 1"), "groups")
-    most = max(2, min(MOST, (1 << 20) // (2 * lengths[-1])))  # a segment has less than twice the length
+    groups = distinct.groupBy("key").agg(F.count("*").alias("members"), F.max(F.size("anchors")).alias("most"))
+    groups = stored(groups.where("members > 1 or most > 1").drop("most"), "groups")
+    most = max(2, min(MOST, (1 << 20) // (3 * lengths[-1])))  # a segment has less than three times the length
 
     def whole(rows: DataFrame, length: int) -> DataFrame:
         end = F.least(F.length("seg"), F.col("windows") - 1 + length).cast("long")
@@ -393,12 +425,12 @@ def _repeats(segments: DataFrame, lengths: list[int], widths: list[int]) -> Data
     large = rest.where(F.col("members") > most)
     below = []
     if groups.where(F.col("members") > most).limit(1).count():
-        if widths:
-            parts = stored(_cut(large, lengths, widths[0]), "parts")
-            deeper = _repeats(parts, lengths, widths[1:]).withColumnRenamed("unit", "seg_id")
+        for length in lengths if widths else []:
+            parts = stored(_cut(large, length, widths[0]), "parts")
+            deeper = _repeats(parts, [length], widths[1:]).withColumnRenamed("unit", "seg_id")
             below.append(deeper)
             found = found.union(deeper.select("seg_id", "bound", "lo", "hi"))
-        else:
+        if not widths:
             # The parts of a key are one window of the first length each, all equal; those that go on alike are equal parts.
             found = found.union(whole(large, lengths[0]))
     found = stored(found, "runs")
@@ -452,10 +484,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     moved = stored(moved.select("unit", "text", "hashes"), "moved")
     discard(wanted)
     segments = stored(_segments(moved, lengths), "cut")
-    # Offsets of an anchor in a window run to length - gram; each cut leaves parts of an eighth, at last single windows.
+    # Offsets of an anchor in a window run to length - gram; each cut leaves parts of a fifth, at last single windows.
     widths, w = [], lengths[0] - _gram(lengths[0]) + 1
     while w > 1:
-        w = max(1, w // 8)
+        w = max(1, w // 5)
         widths.append(w)
     found = _repeats(segments, lengths, widths)
     spans = stored(found.groupBy("unit").agg(F.collect_set(F.struct("bound", "lo", "hi")).alias("spans")), "spans")

@@ -151,3 +151,41 @@ def test_windows_of_two_lengths_and_context():
                 for i in at:
                     places[s[i : i + length]] += 1
             assert [f.tolist() for f in own] == [[i for i in at if places[s[i : i + length]] > 1] for s, at in zip(strings, starts)]
+
+
+def periodic(rng):
+    body = "bletion " * 60
+    texts = [word(rng) + " " + body[: rng.randint(200, 400)] + word(rng) + " " + " ".join([word(rng)] * 40) for _ in range(12)]
+    return texts + ["a" * 150 + word(rng) for _ in range(12)] + [body[3:], "zu " * 90]
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_periodic_texts_stay_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST", most)
+    texts = periodic(random.Random(9))
+    assert run_short(spark, texts, 40, 24) == expect_short(texts, 40, 24)
+
+
+def test_a_periodic_text_is_not_copied_for_each_period(spark):
+    """Segments and their parts grow with a text's bytes, not with its bytes times a window's length."""
+    text = "x" + "bletion " * 500
+    key = substrings.anchored([text.encode()], 250)[1].view("int64").tolist()
+    moved = spark.createDataFrame([(b"u", text, sorted(set(key)))], "unit binary, text string, hashes array<long>")
+    segments = substrings._segments(moved, [250, 400])
+    rows = segments.collect()
+    assert sum(r.windows for r in rows) == len(text) - 249
+    assert sum(len(r.seg) for r in rows) < 4 * len(text) and len(rows) < len(set(key)) + len(text) // 400 + 2 < len(key) // 4
+    for length in (250, 400):
+        parts = substrings._cut(segments, length, 27).collect()
+        assert sum(p.windows for p in parts) == len(text) - 249 - (length - 250) * sum(r.start + r.windows == len(text) - 249 for r in rows)
+        assert len(parts) < len(key) // 4
+
+
+def test_parts_of_a_bound_are_one_whatever_follows(spark):
+    """A passage with a tail of its own in each of many texts: its windows of the shorter bound become the same few parts."""
+    rng = random.Random(10)
+    passage = "".join(word(rng) + " " for _ in range(120)).encode()[:300]
+    segs = [(str(i).encode(), passage[:290] + bytes(str(i) * 60, "ascii"), [100], 41) for i in range(1000, 1050)]
+    hot = spark.createDataFrame(segs, "seg_id binary, seg binary, anchors array<int>, windows int")
+    parts = substrings._cut(hot, 250, 10).collect()
+    assert len({p.seg_id for p in parts}) <= 5 and sum(p.windows for p in parts) == 50 * 41
