@@ -384,8 +384,15 @@ def _expanded(groups: DataFrame, lengths: list[int]) -> DataFrame:
 
         def spans() -> pd.DataFrame:
             found = _repeated_starts(strings, windows, lengths)
-            rows = [(i, n, a, b) for n, own in zip(lengths, found) for i, f in zip(ids, own) for a, b in covered(f, n)]
-            return pd.DataFrame(rows, columns=["seg_id", "bound", "lo", "hi"]).astype({"bound": "int32", "lo": "int64", "hi": "int64"})
+            out = []
+            for n, starts in zip(lengths, found):
+                # As ``covered``, for all segments at once.
+                start, own = np.concatenate(starts), np.repeat(np.arange(len(ids)), [len(x) for x in starts])
+                new = np.ones(len(start) + 1, dtype=bool)
+                new[1:-1] = (own[1:] != own[:-1]) | (np.diff(start) > n)
+                first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+                out.append(pd.DataFrame({"seg_id": [ids[i] for i in own[first].tolist()], "bound": np.full(len(first), n, dtype=np.int32), "lo": start[first], "hi": start[last] + n}))
+            return pd.concat(out, ignore_index=True)
 
         for batch in batches:
             for k, i, seg, n in zip(batch["key"], batch["seg_id"], batch["seg"], batch["windows"].tolist()):
@@ -484,10 +491,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     moved = stored(moved.select("unit", "text", "hashes"), "moved")
     discard(wanted)
     segments = stored(_segments(moved, lengths), "cut")
-    # Offsets of an anchor in a window run to length - gram; each cut leaves parts of a fifth, at last single windows.
+    # Offsets of an anchor in a window run to length - gram; the first cut leaves a quarter, each further one a sixth, at last single windows.
     widths, w = [], lengths[0] - _gram(lengths[0]) + 1
     while w > 1:
-        w = max(1, w // 5)
+        w = max(1, w // (6 if widths else 4))
         widths.append(w)
     found = _repeats(segments, lengths, widths)
     spans = stored(found.groupBy("unit").agg(F.collect_set(F.struct("bound", "lo", "hi")).alias("spans")), "spans")
